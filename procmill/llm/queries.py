@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procmill.llm import cross_split, leakage, near_dup
+from procmill.llm import cross_split, encode, leakage, near_dup, packing
 from procmill.session import ship, table
 
 
@@ -14,6 +14,14 @@ def _on(name: str, f):
     return query
 
 
+def _packing(f):
+    def query(spark, d):
+        ship(spark)
+        return f(table(spark, d, "documents"), table(spark, d, "token_budgets"))
+
+    return query
+
+
 QUERIES = {
     "p1_found": _on("samples", leakage.found),
     "p1_spans": _on("samples", leakage.spans),
@@ -21,6 +29,10 @@ QUERIES = {
     "p5_report": _on("samples", cross_split.report),
     "p6_found": _on("samples", near_dup.found),
     "p6_groups": _on("samples", near_dup.group_report),
+    "p7_ids": _on("documents", encode.token_ids),
+    "p7_counts": _on("documents", encode.token_counts),
+    "p8_packing": _packing(packing.packing),
+    "p8_fill": _packing(packing.fill),
 }
 
 SQL: dict[str, str] = {}
