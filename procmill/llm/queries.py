@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procmill.llm import cross_split, encode, leakage, near_dup, packing
+from procmill.llm import cross_split, encode, leakage, near_dup, packing, quality
 from procmill.session import ship, table
 
 
@@ -22,6 +22,14 @@ def _packing(f):
     return query
 
 
+def _quality(f, *more: str):
+    def query(spark, d):
+        ship(spark)
+        return f(*(table(spark, d, t) for t in ("documents", "common_words", *more)))
+
+    return query
+
+
 QUERIES = {
     "p1_found": _on("samples", leakage.found),
     "p1_spans": _on("samples", leakage.spans),
@@ -33,6 +41,8 @@ QUERIES = {
     "p7_counts": _on("documents", encode.token_counts),
     "p8_packing": _packing(packing.packing),
     "p8_fill": _packing(packing.fill),
+    "p9_found": _quality(quality.found, "quality_labels"),
+    "p9_outliers": _quality(quality.outliers),
 }
 
 SQL: dict[str, str] = {}
