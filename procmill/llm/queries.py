@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procmill.llm import cross_split, encode, leakage, near_dup, packing, quality
+from procmill.llm import cross_split, defects, encode, leakage, near_dup, packing, quality
 from procmill.session import ship, table
 
 
@@ -30,9 +30,20 @@ def _quality(f, *more: str):
     return query
 
 
+def _pairs(f):
+    def query(spark, d):
+        ship(spark)
+        rows = defects.pair_rows([(table(spark, d, "preprocessing_generations"), "preprocessing_generations", "input_text", "output_text"), (table(spark, d, "json_bpmn_generations"), "json_bpmn_generations", "input_preprocess", "output_json")])
+        return f(rows, table(spark, d, "common_words"))
+
+    return query
+
+
 QUERIES = {
     "p1_found": _on("samples", leakage.found),
     "p1_spans": _on("samples", leakage.spans),
+    "p4_found": _pairs(defects.found),
+    "p4_labels": _pairs(defects.labels),
     "p5_found": _on("samples", cross_split.found),
     "p5_report": _on("samples", cross_split.report),
     "p6_found": _on("samples", near_dup.found),
