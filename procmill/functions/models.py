@@ -33,7 +33,7 @@ def read_json(text: str | None):
     for _ in range(5):
         if not isinstance(text, str):
             return text
-        s = text.strip("﻿​ \t\r\n")
+        s = text.strip("\ufeff\u200b \t\r\n")
         if not s:
             return None
         try:
@@ -155,7 +155,7 @@ def canonical_of_xml(text: str | None) -> str | None:
     if not text or "<" not in text:
         return None
     try:
-        root = ET.fromstring(text.strip("﻿​ \t\r\n"))
+        root = ET.fromstring(text.strip("\ufeff\u200b \t\r\n"))
         processes = [_xml_body(p) for p in root.iter() if _local(p) == "process"]
         return json.dumps({"processes": processes}, ensure_ascii=False) if any(processes) else None
     except (ET.ParseError, ValueError, RecursionError, LookupError):
