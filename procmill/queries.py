@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from procmill.operators import nested, references as R
+from procmill.plans import relational
 from procmill.session import ship, table
 
 
@@ -76,11 +77,15 @@ found AS (
   WHERE r.key IS NOT NULL AND (h.key IS NULL OR h.first_at > r.at))
 """
 
-QUERIES = {"p2_found": p2_found, "p2_levels": p2_levels, "p3_found": p3_found, "p3_report": p3_report, "p3_orphan_keys": p3_orphan_keys}
+_OWN = {"p2_found": p2_found, "p2_levels": p2_levels, "p3_found": p3_found, "p3_report": p3_report, "p3_orphan_keys": p3_orphan_keys}
 
-SQL = {
+_OWN_SQL = {
     "p3_found": f"WITH {_REFS} SELECT table_name, row_id, kind, period FROM found",
     "p3_report": f"WITH {_REFS} SELECT table_name, kind, period, count(*) AS n_rows FROM found GROUP BY ALL",
     "p3_orphan_keys": f"""WITH {_REFS} SELECT r.target, r.key, count(*) AS n_refs, CAST(max(CASE WHEN g.key IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS deleted
 FROM refs r LEFT JOIN gone g ON r.target = g.target AND r.key = g.key WHERE r.key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM have h WHERE h.target = r.target AND h.key = r.key) GROUP BY ALL""",
 }
+
+PLANS = (relational,)
+QUERIES = _OWN | {k: f for m in PLANS for k, f in m.QUERIES.items()}
+SQL = _OWN_SQL | {k: q for m in PLANS for k, q in m.SQL.items()}
