@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from string import ascii_letters, ascii_uppercase, digits
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +32,20 @@ FEATURES = STATISTICS + SHAPES
 MOST_LABELS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*|[0-9]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _SENTENCE = re.compile(r"[.!?]+(?:\s|$)|\n+")
 _BULLET = re.compile(r"(?:[-*•–—·▪‣◦>]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+\S")
 _LABEL = re.compile(r"[^\W\d_][\w /&.'-]{0,30}:(?:\s|$)")
 _LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|\b(?:INFO|WARN|ERROR|DEBUG)\b.*=")
 _CODE = re.compile(r"""^(?:</?[\w:!?]|[{}\[\]]|"[\w ]+"\s*:)|[{;]$|->|^\s*(?:def|class|import|function|return|var|SELECT|process|task|xor|and)\b.*[{(;>]""")
 _RULE = set("-=_*+|#~.: ")
-_GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_MENU = re.compile(r"\s[|>»·•/-]\s")
+_GAPS = re.compile(r"\S {2,}(?=\S)")
+_COMMA = re.compile(r",(?=\S|$)")
+_MENU = re.compile(r" [|>»·•/-] ")
+
+#: Columns: letters, capitals, digits, blanks, plain punctuation, vowels, brackets, separators; rows: ASCII codes.
+_CLASSES = np.array([[chr(b) in x for x in (ascii_letters, ascii_uppercase, digits, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", ".,;:!?'\"()-", "aeiouyAEIOUY", "{}[]<>", "|;,\t")] for b in range(256)], np.int64)
 
 
 def _line_kind(s: str) -> str:
@@ -55,9 +61,9 @@ def _line_kind(s: str) -> str:
     n = len(s.split())
     if (c := s.count(";")) >= 2 and n <= 4 * (c + 1):
         return "table"
-    if (c := len(re.findall(r",(?=\S|$)", s))) >= 2 and n <= 4 * (c + 1):
+    if s.count(",") >= 2 and (c := len(_COMMA.findall(s))) >= 2 and n <= 4 * (c + 1):
         return "table"
-    if len(_GAPS.findall(s)) >= 2:
+    if "  " in s and len(_GAPS.findall(s)) >= 2:
         return "table"
     if _CODE.search(s):
         return "code"
@@ -77,17 +83,23 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     if not text or not text.strip():
         return [0.0] * len(FEATURES)
     n = len(text)
-    words = _WORD.findall(text)
-    lower = [w.lower() for w in words]
+    low = text.lower()
+    data = text.encode("utf-8")
+    plain_text = len(data) == n
+    words = (_ASCII_WORD if plain_text else _WORD).findall(low)
     nw = len(words)
-    raw_lines = [x.rstrip() for x in text.split("\n")]
-    lines = [x.strip() for x in raw_lines if x.strip()]
+    letters, upper, figures, blanks, plain, vowels, brackets, separators = (np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _CLASSES).tolist()
+    beyond = "" if plain_text else "".join(_BEYOND.findall(text))
+    if beyond:
+        letters += sum(map(str.isalpha, beyond))
+        upper += sum(map(str.isupper, beyond))
+        figures += sum(map(str.isdecimal, beyond))
+        blanks += sum(map(str.isspace, beyond))
+        vowels += sum(map(beyond.lower().count, "áéíóúãõâêôàäöü"))
+    lines = [y for x in text.split("\n") if (y := x.strip())]
     nl = len(lines)
-    dense = sum(map(len, text.split())) or 1
-    letters = sum(map(len, _LETTERS.findall(text)))
-    digits = sum(map(str.isdigit, text)) if not text.isascii() else sum(map(text.count, "0123456789"))
-    plain = sum(map(text.count, ".,;:!?'\"()-"))
-    symbols = max(dense - letters - digits - plain, 0)
+    dense = n - blanks or 1
+    symbols = max(dense - letters - figures - plain, 0)
     ends = sum(1 for x in lines if (y := x.rstrip("\"')]}»”’*_")) and y[-1] in ".!?:;…")
     share: dict[str, int] = {}
     for x in lines:
@@ -98,16 +110,13 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     sentences = [x.strip() for x in _SENTENCE.split(text)]
     sentences = [x for x in sentences if x]
     uniq = sum(map(len, set(sentences)))
-    data = text.encode("utf-8")
-    vowels = sum(map(text.lower().count, "aeiouáéíóúãõâêôàäöüy"))
     lengths = [len(x) for x in lines]
     mean = sum(lengths) / nl
-    upper = sum(1 for c in text if c.isupper())
     return [
-        float(nw), sum(map(len, words)) / nw if nw else 0.0, symbols / dense, ends / nl, sum(1 for w in lower if w in common) / nw if nw else 0.0,
+        float(nw), sum(map(len, words)) / nw if nw else 0.0, symbols / dense, ends / nl, sum(map(common.__contains__, words)) / nw if nw else 0.0,
         float(n), float(nl), nw / nl, nw / max(len(sentences), 1), sum(1 for x in lines if x[0].isupper()) / nl, of("short"), of("list"), of("label"), of("table"), of("code"), of("log"), of("rule"), of("prose"),
-        digits / dense, upper / max(letters, 1), (n - dense) / n, vowels / max(letters, 1), sum(1 for c in text if ord(c) > 0x24F) / n if not text.isascii() else 0.0,
-        sum(map(text.count, "{}[]<>")) / dense, sum(map(text.count, "|;,\t")) / dense, len(set(lines)) / nl, len(set(lower)) / nw if nw else 0.0, uniq / max(sum(map(len, sentences)), 1),
+        figures / dense, upper / max(letters, 1), (n - dense) / n, vowels / max(letters, 1), sum(1 for c in beyond if c > "\u024f") / n,
+        brackets / dense, separators / dense, len(set(lines)) / nl, len(set(words)) / nw if nw else 0.0, uniq / max(sum(map(len, sentences)), 1),
         len(zlib.compress(data, 1)) / len(data), float(max(map(len, text.split()))), (sum((x - mean) ** 2 for x in lengths) / nl) ** 0.5 / mean, len(_MENU.findall(text)) / max(nw, 1),
     ]
 
