@@ -165,6 +165,6 @@ def bag_json(spark, d):
     return n.groupBy("source").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("stage", "n"))), lambda x: F.array(x["stage"], x["n"].cast("string")))).alias("bag"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS n_words FROM documents")
+@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\s\x0b]+', ' ', 'g'), ' '), lambda v: v <> '')) AS n_words FROM documents")
 def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda v: v != "")).cast("bigint").alias("n_words"))
