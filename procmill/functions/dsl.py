@@ -252,21 +252,25 @@ class _Compiler:
 
     def link(self, g: Graph, opened: list[tuple[str, str]], to: str) -> None:
         for i, condition in opened:
-            g.edges.append(Edge(f"e{len(g.edges)}", i, to, condition))
+            if i.startswith("#"):
+                self.pending.append((g, i, condition, to))
+            else:
+                g.edges.append(Edge(f"e{len(g.edges)}", i, to, condition))
 
     def flow(self, g: Graph, steps: list[Step], opened: list[tuple[str, str]], lane: str) -> list[tuple[str, str]]:
         """Compiles steps after the open ends (node, condition); gives the ends that stay open."""
-        for s in steps:
-            if s.op == "note":
-                continue
+        steps = [s for s in steps if s.op != "note"]
+        for k, s in enumerate(steps):
+            last = k == len(steps) - 1
             if s.op == "ref":
                 for i, condition in opened:
                     self.pending.append((g, i, condition, s.id))
-                return []
+                opened = [] if last else [(f"#{s.id}", "")]  # what follows a reference goes on from the step it names
+                continue
             i = self.node(g, s, lane)
             self.link(g, opened, i)
             opened = [(i, "")]
-            if s.op == "event" and s.kind == "end":
+            if s.op == "event" and s.kind == "end" and last:
                 opened = []
             elif s.op == "gateway":
                 ends: list[tuple[str, str]] = []
@@ -282,6 +286,12 @@ class _Compiler:
                     opened = []
         return opened
 
+    def meant(self, ref: str) -> str:
+        to = self.named.get(ref[1:]) if ref.startswith("=") else self.declared.get(ref)
+        if to is None:
+            raise DslError(f"No step is named #{ref.lstrip('=')}")
+        return to
+
     def run(self, p: Program) -> list[Graph]:
         for b in p.blocks:
             g = Graph(b.name)
@@ -292,11 +302,8 @@ class _Compiler:
                     g.lanes.append((f"lane_{len(g.lanes) + 1}", lane))
                 opened = self.flow(g, steps, opened if goes_on else [], lane)
         for g, i, condition, ref in self.pending:
-            to = self.named.get(ref[1:]) if ref.startswith("=") else self.declared.get(ref)
-            if to is None:
-                g.warnings.append(f"reference to unknown {ref.lstrip('=')}")
-            else:
-                g.edges.append(Edge(f"e{len(g.edges)}", i, to, condition))
+            source = self.meant(i[1:]) if i.startswith("#") else i
+            g.edges.append(Edge(f"e{len(g.edges)}", source, ref if ref in g.nodes and i.startswith("#") else self.meant(ref), condition))
         for g in self.graphs:
             for n in g.nodes.values():
                 if n.lane and n.lane not in [x for _, x in g.lanes]:
@@ -307,8 +314,8 @@ class _Compiler:
 def compile_program(p: Program) -> tuple[list[Graph], list[tuple[str, str, str]]]:
     """The graphs of a program's processes and pools, and its messages (label, node id, node id).
 
-    A repeated #id is the same node. References to later steps resolve; unknown ones give a warning. Branches that end or refer do
-    not reach the merge; without an open branch there is no merge. The inside of a subprocess stays inside: it is one node.
+    A repeated #id is the same node. References to later steps resolve; unknown ones are a DslError. Branches that end or refer do
+    not reach the merge; without an open branch there is no merge. Steps after a reference go on from the step it names. The inside of a subprocess stays inside: it is one node.
     """
     c = _Compiler()
     graphs = c.run(p)

@@ -38,6 +38,8 @@ def read_json(text: str | None):
             return None
         try:
             text = _DECODER.decode(s)
+            if text == s:  # a number, as written
+                return text
             continue
         except (ValueError, RecursionError):
             pass
