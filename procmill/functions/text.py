@@ -212,8 +212,8 @@ def options(c: Column, mark: str = ",") -> Column:
 def grams(c: Column, k: int) -> Column:
     """The runs of k words (lower case, letters and digits) as strings, in order; none for shorter texts."""
     ws = F.filter(F.split(F.regexp_replace(F.lower(c), "[^0-9a-z]+", " "), " "), lambda x: x != "")
-    n = F.size(ws) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(ws, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(ws), runs), 1)  # the words are bound once, not read again for every run
 
 
 def joined_tokens(c: Column) -> Column:

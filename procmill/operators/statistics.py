@@ -103,8 +103,8 @@ def holm(df: DataFrame, p: str, keys: Sequence[str], family: Sequence[str] = ())
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks; null if either side is constant or has fewer than two values. Rows with nulls are left out."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
-    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_a"), F.stddev_pop("_y").alias("_b"))
-    return s.withColumn("rho", F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c"))).drop("_c", "_a", "_b")
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_a"), F.stddev_pop("_y").alias("_b"))
+    return s.withColumn("rho", F.try_divide("_c", F.col("_a") * F.col("_b"))).drop("_c", "_a", "_b")
 
 
 def concordance(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:

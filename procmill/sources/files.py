@@ -14,7 +14,7 @@ NAME = r"([^/]+)$"
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, name, stem, text): one row per file; stem is the name without its extensions."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     name = F.regexp_extract(F.url_decode("path"), NAME, 1)
     return df.select("path", name.alias("name"), F.substring_index(name, ".", 1).alias("stem"), "text")
 
