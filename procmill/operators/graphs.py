@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from procmill.functions import graphs as G
-from procmill.session import materialize, ship
+from procmill.session import materialize, ship, spread
 
 
 def _rows(f: Callable, keys: int, schema: StructType):
@@ -33,7 +33,7 @@ def expand(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], f: Callabl
     ship(df.sparkSession)
     src = df.select(*keys, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
     schema = StructType([src.schema[k] for k in keys] + StructType.fromDDL(kinds).fields)
-    return src.mapInArrow(_rows(f, len(keys), schema), schema)
+    return spread(src).mapInArrow(_rows(f, len(keys), schema), schema)
 
 
 def nodes(df: DataFrame, keys: Sequence[str], text: str, form: str) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from procmill.functions.models import canonical_batches
+from procmill.session import spread
 
 ROW = "level string, sk string, parent_sk string, root_no int, ordinal int, parent_id string, id string, {} value string"
 
@@ -128,7 +129,7 @@ def model_documents(sources: list[tuple[DataFrame, str, str, str, str]]) -> Data
     for df, origin, key, text, form in sources:
         one = df.select(F.lit(origin).alias("origin"), df[key].cast("string").alias("record_key"), F.lit(form).alias("form"), df[text].alias("text")).where("text is not null")
         parts = one if parts is None else parts.unionByName(one)
-    return parts.mapInArrow(canonical_batches, "origin string, record_key string, doc string")
+    return spread(parts).mapInArrow(canonical_batches, "origin string, record_key string, doc string")
 
 
 def model_rows(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from procmill.functions import text as X
 from procmill.operators import relational as O
-from procmill.session import ship, table
+from procmill.session import ship, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,19 +34,19 @@ _N = "len(regexp_extract_all(coalesce(text, ''), '(?m)^\\s*\\d+\\.\\s+'))"
 @query(f"""SELECT doc_id, CAST(least({_P}, 2) + CASE WHEN {_A} >= 8 THEN 3 WHEN {_A} >= 5 THEN 2 WHEN {_A} >= 3 THEN 1 ELSE 0 END + least({_R}, 2) + CASE WHEN {_C} > 0 THEN 1 ELSE 0 END
 + CASE WHEN {_N} >= 3 THEN 2 WHEN {_N} >= 1 THEN 1 ELSE 0 END - CASE WHEN {_sql_count("coalesce(title, '')", X.LEGAL_TITLE)} > 0 THEN 5 ELSE 0 END AS INTEGER) AS score FROM documents""")
 def procedural_score(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.procedural_score("text", "title").alias("score"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", "title")).select("doc_id", X.procedural_score("text", "title").alias("score"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, {_N} AS n, {_C} > 0 AS c, len(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{X.CLASS_ACTORS[4:]}', 0, 'i'), lambda v: lower(v)))) >= 2 AS a FROM documents)
 SELECT doc_id, CASE WHEN n < 3 THEN 'marginal' WHEN a AND c THEN 'ideal' WHEN a OR c THEN 'good' ELSE 'linear' END AS class FROM x""")
 def convertibility(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.convertibility("text").alias("class"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.convertibility("text").alias("class"))
 
 
 @query()
 def clean_markdown(spark, d):
     ship(spark)
-    return table(spark, d, "documents").select("doc_id", X.clean_markdown(F.col("text")).alias("cleaned"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.clean_markdown(F.col("text")).alias("cleaned"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS cleaned FROM documents")
@@ -97,7 +97,7 @@ _G = "list_filter(string_split(regexp_replace(lower(coalesce(raw_text, '')), '[^
 t AS (SELECT DISTINCT g FROM g WHERE split = 'sft'), e AS (SELECT DISTINCT id, g FROM g WHERE split = 'holdout') SELECT id, count(*) AS n_grams, count(t.g) AS n_shared, round(count(t.g) / count(*), 9) AS share FROM e LEFT JOIN t ON e.g = t.g GROUP BY id HAVING count(t.g) > 0""")
 def ngram_contamination(spark, d):
     """The share of every holdout text's distinct runs of 8 words that training texts have too."""
-    g = table(spark, d, "samples").select("id", "split", "raw_text").distinct().select("id", "split", F.explode(X.grams(F.coalesce("raw_text", F.lit("")), 8)).alias("g")).select("id", "split", F.xxhash64("g").alias("g"))
+    g = spread(table(spark, d, "samples").select("id", "split", "raw_text")).distinct().select("id", "split", F.explode(X.grams(F.coalesce("raw_text", F.lit("")), 8)).alias("g")).select("id", "split", F.xxhash64("g").alias("g"))
     e, t = g.where("split = 'holdout'").select("id", "g").distinct(), g.where("split = 'sft'").select("g", F.lit(1).alias("hit")).distinct()
     s = e.join(t, "g", "left").groupBy("id").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_shared")).where("n_shared > 0")
     return s.withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 9))

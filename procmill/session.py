@@ -72,6 +72,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer parts than the cluster has cores, dealt out evenly before work that is heavy per row; others as they are.
+
+    A file of one row group is one part however many cores wait. Only plans without a shuffle of their own are looked at, so nothing
+    runs; a scan that fills the cores is left alone, so large inputs gain no shuffle.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if plan.execute().getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data folder (one file or a folder of files)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
