@@ -24,12 +24,13 @@ def query(sql: str | None = None):
 
 
 def _models(spark, d):
-    return table(spark, d, "json_bpmn_generations").where("status = 'succeeded'").select("id", "output_json").distinct()
+    """Rows as they are scanned: repeats are dropped from the small results, not from the texts, so no shuffle comes before the work."""
+    return table(spark, d, "json_bpmn_generations").where("status = 'succeeded'").select("id", "output_json")
 
 
 @query()
 def transpile_json_dsl(spark, d):
-    return P.json_to_dsl(_models(spark, d), ["id"], "output_json").drop("error_traceback")
+    return P.json_to_dsl(_models(spark, d), ["id"], "output_json").drop("error_traceback").distinct()
 
 
 @query()
@@ -37,12 +38,12 @@ def transpile_json_dsl_xml(spark, d):
     """Both stages, and the XML's direct follows against the JSON's."""
     a = P.json_to_dsl(_models(spark, d), ["id", "output_json"], "output_json").where("status = 'succeeded'").select("id", "output_json", F.col("output").alias("program"))
     b = P.dsl_to_xml(a, ["id", "output_json"], "program")
-    return G.compared(b.where("status = 'succeeded'"), ["id", "status"], "output_json", "output", "json", "xml").select("id", "status", "df_exact", "df_f1", "nodes_match")
+    return G.compared(b.where("status = 'succeeded'"), ["id", "status"], "output_json", "output", "json", "xml").select("id", "status", "df_exact", "df_f1", "nodes_match").distinct()
 
 
 @query()
 def transpile_json_xml(spark, d):
-    return P.json_to_xml(_models(spark, d), ["id"], "output_json").select("id", "status", "error_type", F.length("output").alias("n_chars"))
+    return P.json_to_xml(_models(spark, d), ["id"], "output_json").select("id", "status", "error_type", F.length("output").alias("n_chars")).distinct()
 
 
 @query("SELECT id, transpiler_version, CAST(parse_ok AS INTEGER) AS parse_ok FROM dsl_transpiler_runs WHERE output_dsl IS NOT NULL")
