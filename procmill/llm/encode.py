@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from procmill.session import ship
+from procmill.session import ship, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -163,7 +163,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """(key, ids): one row for each row of df, without any shuffle. Null and empty texts have the empty list."""
     ship(df.sparkSession)
     src = df.select(key, F.col(text).alias("_text"))
-    return src.mapInArrow(_ids(path, key), f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(src).mapInArrow(_ids(path, key), f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def _sizes(path: str, key: str):
@@ -179,7 +179,7 @@ def token_sizes(df: DataFrame, key: str = "doc_id", text: str = "text", path: st
     """(key, n_tokens): 0 for null and empty texts."""
     ship(df.sparkSession)
     src = df.select(key, F.col(text).alias("_text"))
-    return src.mapInArrow(_sizes(path, key), f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint")
+    return spread(src).mapInArrow(_sizes(path, key), f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint")
 
 
 def token_counts(df: DataFrame) -> DataFrame:

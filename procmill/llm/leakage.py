@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from procmill.llm.cross_split import split_of
 from procmill.llm.words import word_spans, words
-from procmill.session import materialize, ship
+from procmill.session import materialize, ship, spread
 
 #: A shard's words. There are 1,111,998 code points to use, so every word of a shard can have its own; about 150 MB in a worker.
 SHARD_WORDS = 1_100_000
@@ -147,7 +147,7 @@ def leaked_passages(train: DataFrame, evaluation: DataFrame, least: int = 20, sh
     """
     spark = train.sparkSession
     ship(spark)
-    pieces = evaluation.where("id is not null and text is not null").mapInArrow(_words_of(least), "id string, start int, words string, n int")
+    pieces = spread(evaluation.where("id is not null and text is not null")).mapInArrow(_words_of(least), "id string, start int, words string, n int")
     pieces = materialize(pieces.select("id", "start", F.unhex(F.sha2("words", 256)).alias("key"), "words", "n"), "evaluation")
     unique = pieces.groupBy("key").agg(F.first("words").alias("words"), F.first("n").alias("n"))
     total = unique.agg(F.sum("n")).first()[0] or 0
@@ -156,7 +156,7 @@ def leaked_passages(train: DataFrame, evaluation: DataFrame, least: int = 20, sh
         shards = -(-total * 10 // (shard_words * 9))
     unique = materialize(unique.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(shards, 1))).cast("int")), "patterns")
     shared, room, held = [], 0, []
-    texts = train.where("id is not null and text is not null").select("id", "text")
+    texts = spread(train.where("id is not null and text is not null").select("id", "text"))
     for shard in range(shards):
         rows = []
         for r in unique.where(F.col("shard") == shard).select("key", "words", "n").toLocalIterator():

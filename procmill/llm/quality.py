@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from procmill.llm.trees import Trees, fit
-from procmill.session import materialize, ship
+from procmill.session import materialize, ship, spread
 
 KINDS = ("prose", "list", "table", "junk")
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
@@ -151,7 +151,7 @@ def features(documents: DataFrame, common_words: DataFrame, most_words: int = 10
         lists.setdefault(r["lang"], set()).add(r["word"])
     shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in lists.items()})
     kinds = ", ".join(f"{f} double" for f in FEATURES)
-    return documents.where("doc_id is not null").select("doc_id", language().alias("lang"), "text").mapInArrow(_features(shared), f"doc_id bigint, lang string, {kinds}")
+    return spread(documents.where("doc_id is not null").select("doc_id", language().alias("lang"), "text")).mapInArrow(_features(shared), f"doc_id bigint, lang string, {kinds}")
 
 
 # ---- exact ranks and outlier scores ----

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from procmill.llm.words import shingles, words
-from procmill.session import materialize, ship
+from procmill.session import materialize, ship, spread
 
 
 @dataclass
@@ -77,7 +77,7 @@ def shingle_sets(df: DataFrame, text: Column, keep: dict[str, Column], k: int =
     src = df.where(text.isNotNull()).select(text.alias("_text"), *([head.alias("_head")] if head is not None else []), *cols)
     kept = [f"_k_{n}" for n in keep]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*kept).schema)
-    made = src.mapInArrow(_make(k, least_words, kept), f"cls binary, n int, shingles array<bigint>, {kinds}")
+    made = spread(src).mapInArrow(_make(k, least_words, kept), f"cls binary, n int, shingles array<bigint>, {kinds}")
     rows = materialize(made.select("cls", "n", "shingles", *[F.col(f"_k_{n}").alias(n) for n in keep]), name)
     return Sets(rows, list(keep))
 
