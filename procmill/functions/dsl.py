@@ -292,6 +292,17 @@ class _Compiler:
             raise DslError(f"No step is named #{ref.lstrip('=')}")
         return to
 
+    def joined(self, a: str, b: str) -> Graph | None:
+        """The graph of both nodes; if they are in two, the later one becomes part of the earlier."""
+        at = sorted({next((k for k, g in enumerate(self.graphs) if i in g.nodes), 0) for i in (a, b)})
+        if len(at) == 2:
+            first, other = self.graphs[at[0]], self.graphs.pop(at[1])
+            first.nodes |= other.nodes
+            first.edges += [Edge(f"e{len(first.edges) + k}", e.source, e.target, e.condition, e.label) for k, e in enumerate(other.edges)]
+            first.lanes += [(f"lane_{len(first.lanes) + k + 1}", x) for k, (_, x) in enumerate(other.lanes) if x not in [y for _, y in first.lanes]]
+            return first
+        return self.graphs[at[0]] if self.graphs else None
+
     def run(self, p: Program) -> list[Graph]:
         for b in p.blocks:
             g = Graph(b.name)
@@ -303,7 +314,9 @@ class _Compiler:
                 opened = self.flow(g, steps, opened if goes_on else [], lane)
         for g, i, condition, ref in self.pending:
             source = self.meant(i[1:]) if i.startswith("#") else i
-            g.edges.append(Edge(f"e{len(g.edges)}", source, ref if ref in g.nodes and i.startswith("#") else self.meant(ref), condition))
+            target = ref if ref in g.nodes and i.startswith("#") else self.meant(ref)
+            home = self.joined(source, target) or g
+            home.edges.append(Edge(f"e{len(home.edges)}", source, target, condition))
         for g in self.graphs:
             for n in g.nodes.values():
                 if n.lane and n.lane not in [x for _, x in g.lanes]:
@@ -315,7 +328,8 @@ def compile_program(p: Program) -> tuple[list[Graph], list[tuple[str, str, str]]
     """The graphs of a program's processes and pools, and its messages (label, node id, node id).
 
     A repeated #id is the same node. References to later steps resolve; unknown ones are a DslError. Branches that end or refer do
-    not reach the merge; without an open branch there is no merge. Steps after a reference go on from the step it names. The inside of a subprocess stays inside: it is one node.
+    not reach the merge; without an open branch there is no merge. Steps after a reference go on from the step it names. Processes
+    that refer to each other's steps are one. The inside of a subprocess stays inside: it is one node.
     """
     c = _Compiler()
     graphs = c.run(p)
@@ -377,20 +391,27 @@ class _Writer:
     def walk(self, i: str | None, stop: str | None, outer: tuple[str, ...], pad: str) -> tuple[list[str], bool]:
         """Steps from node i on until stop, and whether stop was reached (the way is open)."""
         out: list[str] = []
+        ended = False
         while i is not None:
             i = self.skip(i) if i != stop else i
             if i == stop or (stop is not None and i == self.skip(stop)):
+                if ended:  # an end event that goes on would close the branch if it stood last
+                    return [*out, self.ref(self.skip(stop))], False
                 return out, True
             if i in self.done or i in outer:
                 return [*out, self.ref(i)], False
             n = self.g.nodes[i]
-            self.done.add(i)
             ways = [t for t in self.after.get(i, ()) if t in self.g.nodes]
+            if not ways and (stop is not None or outer) and not n.kind.startswith("end"):
+                return [*out, self.ref(i)], False  # a last step here would run on into the merge; it gets a process of its own
+            self.done.add(i)
             if len(ways) < 2:
                 if "Gateway" not in n.kind:
                     out.append(self.head(n))
+                    ended = n.kind.startswith("end")
                 i = ways[0] if ways else None
                 continue
+            ended = False
             join = join_point(self.g, i)
             if join is not None and (self.skip(join) in self.done or join in self.done):
                 join = None
@@ -413,13 +434,26 @@ class _Writer:
         return out, False
 
 
+def _leading_somewhere(g: Graph) -> Graph:
+    """The graph without gateways from which no activity can be reached (they relate nothing) and without repeated edges."""
+    before, kept = g.predecessors(), {i for i, n in g.nodes.items() if "Gateway" not in n.kind}
+    todo = list(kept)
+    while todo:
+        for j in before.get(todo.pop(), ()):
+            if j not in kept:
+                kept.add(j)
+                todo.append(j)
+    edges = {(e.source, e.target): e for e in g.edges if e.source in kept and e.target in kept}  # a repeated edge counts once
+    return Graph(g.name, {i: n for i, n in g.nodes.items() if i in kept}, list(edges.values()), g.lanes, g.warnings)
+
+
 def write(graphs: list[Graph]) -> str:
     """The program of some graphs: one process for each part that hangs together.
 
     The direct-follows relation of the program is that of the graphs. Edges to unknown nodes are left out, forks without a gateway get
     one; nodes that no way reaches from the start follow in processes of their own.
     """
-    graphs = [split_implicit(g.inner()) for g in graphs]
+    graphs = [_leading_somewhere(split_implicit(g.inner())) for g in graphs]
     keyed = []
     for no, g in enumerate(graphs):  # ids are unique in a graph only
         k = lambda i, no=no: f"{no}:{i}"
