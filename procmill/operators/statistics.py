@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from procmill.operators.ranks import exact_ranks, with_average_rank
+
 
 def item_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per key; null counts as 0."""
@@ -28,12 +30,10 @@ def item_spread(df: DataFrame, arm: str, item: str, value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Nearest-rank quantiles sorted[min(n - 1, int(p * n))], exact: values are counted first, the window then runs over distinct values."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*keys)
-    c = c.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    at = lambda p: F.least(F.col("_all") - 1, F.floor(F.lit(p) * F.col("_all")))
-    return c.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(f"q{round(p * 100)}") for p in shares])
+    """Nearest-rank quantiles sorted[min(n - 1, int(p * n))], exact, by exact_ranks; nulls are left out."""
+    c = exact_ranks(df, keys, value)
+    at = lambda p: F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
+    return c.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"q{round(p * 100)}") for p in shares])
 
 
 def average_rank(value: str, keys: Sequence[str] = (), order: Column | None = None) -> Column:
@@ -102,7 +102,8 @@ def holm(df: DataFrame, p: str, keys: Sequence[str], family: Sequence[str] = ())
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks; null if either side is constant or has fewer than two values. Rows with nulls are left out."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    d = with_average_rank(with_average_rank(d, keys, x, "_x"), keys, y, "_y")
     s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("_x", "_y").alias("_c"), F.stddev_pop("_x").alias("_a"), F.stddev_pop("_y").alias("_b"))
     return s.withColumn("rho", F.try_divide("_c", F.col("_a") * F.col("_b"))).drop("_c", "_a", "_b")
 

@@ -61,3 +61,20 @@ def test_bootstrap_is_the_same_every_time(spark):
     assert tuple(a) == tuple(b) and a.low < 2 < a.high
     say = lambda lo, hi: spark.range(1).select(S.verdict(F.lit(lo), F.lit(hi), 0.5)).first()[0]
     assert [say(-0.4, 0.4), say(0.6, 1.0), say(-1.0, -0.6), say(-0.5, 0.4)] == ["equivalent", "superior", "inferior", "inconclusive"]
+
+
+def test_exact_ranks(spark):
+    import random
+
+    from procmill.operators.ranks import exact_ranks, with_average_rank
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([0.0, 0.0, 1.0, rng.random(), None])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {(r.k, r.v): (r.n, r.upto, r.total) for r in exact_ranks(df, ["k"], "v").collect()}
+    assert len(got) == len({r for r in rows if r[1] is not None})
+    for (k, v), (n, upto, total) in got.items():
+        same = [x for a, x in rows if a == k and x is not None]
+        assert (n, upto, total) == (same.count(v), sum(x <= v for x in same), len(same))
+    ranked = with_average_rank(df, ["k"], "v", "r")
+    assert ranked.count() == sum(r[1] is not None for r in rows) and exact_ranks(df.limit(0), ["k"], "v").count() == 0
