@@ -120,3 +120,13 @@ def closure(edges: DataFrame, starts: DataFrame, keys: Sequence[str] = ()) -> Da
         new = materialize(step.join(known, [*k, "start", "node"], "left_anti"), "reached")
         known = known.union(new)
     return known
+
+
+def anchoring(df: DataFrame, keys: Sequence[str], model: str, source: str, form: str) -> DataFrame:
+    """(keys, n_words, n_anchored, share): the distinct words of a model's activity labels, and those that its source text has too."""
+    def f(m, s):
+        labels = {x for g in G.graphs_of(m, form) for n in g.nodes.values() if G._cat(n) for x in G.normal_label(n.name).split()}
+        hit = labels & set(G.normal_label(s or "").split())
+        return [(len(labels), len(hit), len(hit) / len(labels))] if labels else []
+
+    return expand(df, keys, [model, source], f, "n_words int, n_anchored int, share double")

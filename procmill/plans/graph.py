@@ -181,3 +181,10 @@ def implicit_split(spark, d):
 @query(f"WITH {_T} SELECT DISTINCT a.user_id, a.source FROM e a WHERE a.source = a.target")
 def self_loops(spark, d):
     return _trace(spark, d).where("nxt = event_type").select("user_id", F.col("event_type").alias("source")).distinct()
+
+
+@query()
+def lexical_anchoring(spark, d):
+    """How far model labels use the words of the text they were made from, per source."""
+    s = table(spark, d, "samples").where("bpmn_json is not null and raw_text is not null")
+    return G.anchoring(s, ["id", "source"], "bpmn_json", "raw_text", "json").distinct().groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("share"), 9).alias("mean_share"))

@@ -167,3 +167,19 @@ def conditional_contrast(spark, d):
 def pivot_arms(spark, d):
     m = S.item_medians(_eval(spark, d), ["arm", "item"], "value")
     return m.groupBy("item").pivot("arm", ["A", "N", "R"]).agg(F.round(F.max("median"), 6)).select("item", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+@query("SELECT l_orderkey AS target, string_agg(l_linenumber || ':' || CAST(l_quantity AS BIGINT), ',' ORDER BY l_linenumber, l_quantity) AS reps, count(*) AS n FROM lineitem GROUP BY 1")
+def fold_repetitions(spark, d):
+    """Scores per repetition folded into one row per target."""
+    r = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("target")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))).alias("r"))
+    return r.select("target", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["q"].cast("string"))), ",").alias("reps"), F.size("r").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 5 THEN s END) AS low, min(CASE WHEN n = 194 THEN s END) AS high FROM sr), mm AS (SELECT avg(d) AS diff, count(*) AS n FROM pr) SELECT 'A - R' AS contrast, n, round(diff, 9) AS diff, round(high - diff, 9) AS up, round(diff - low, 9) AS down FROM mm, ci")
+def contrast_rows(spark, d):
+    """A contrast as a figure needs it: difference and the lengths of its error bars."""
+    p = _pairs(spark, d)
+    ci = S.interval(S.bootstrap(p, "d", "item", 200, 42), 200, upper_less_one=True)
+    m = p.agg(F.avg("d").alias("diff"), F.count("*").alias("n"))
+    return m.join(F.broadcast(ci)).select(F.lit("A - R").alias("contrast"), "n", F.round("diff", 9).alias("diff"), F.round(F.col("high") - F.col("diff"), 9).alias("up"), F.round(F.col("diff") - F.col("low"), 9).alias("down"))  # one row each

@@ -168,3 +168,26 @@ def bag_json(spark, d):
 @query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\s\x0b]+', ' ', 'g'), ' '), lambda v: v <> '')) AS n_words FROM documents")
 def word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda v: v != "")).cast("bigint").alias("n_words"))
+
+
+@query("SELECT event_id, CASE WHEN json_keys(props) = ['k'] AND CAST(json_extract_string(props, '$.k') AS INTEGER) BETWEEN 0 AND 50 THEN 1 ELSE 0 END AS valid FROM events")
+def verdict_validation(spark, d):
+    """Whether a JSON verdict has exactly the keys it must and a score in range."""
+    m = F.from_json("props", "map<string,string>")
+    return table(spark, d, "events").select("event_id", O.flag((F.array_sort(F.map_keys(m)) == F.array(F.lit("k"))) & F.expr("try_cast(from_json(props, 'map<string,string>')['k'] as int)").between(0, 50)).alias("valid"))
+
+
+@query("SELECT id, CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.origin') END AS origin, CASE WHEN json_valid(metadata) THEN CAST(json_extract_string(metadata, '$.word_count') AS BIGINT) END AS word_count FROM samples")
+def flatten_metadata(spark, d):
+    """Fields of a JSON column; what is missing or damaged is null."""
+    return table(spark, d, "samples").select("id", F.get_json_object("metadata", "$.origin").alias("origin"), F.get_json_object("metadata", "$.word_count").cast("bigint").alias("word_count"))
+
+
+@query(f"""WITH p AS (SELECT id, split_part(source_file, '/', 1) AS a, sample_id AS b FROM gold_models), w AS (SELECT id, {_LW.format('a')} AS x, {_LW.format('b')} AS y FROM p), s AS (SELECT id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS s FROM w)
+SELECT count(*) AS n, round(avg(s), 9) AS mean_similarity, round(avg(CASE WHEN s >= 0.5 THEN 1.0 ELSE 0.0 END), 9) AS share_matching FROM s""")
+def paraphrase_intensity(spark, d):
+    """Mean similarity of the pairs in JSON mappings {"mapping": {old: new}}, and the share that still matches."""
+    g = table(spark, d, "gold_models").select("id", F.to_json(F.struct(F.create_map(F.substring_index("source_file", "/", 1), F.col("sample_id")).alias("mapping"))).alias("detail"))
+    p = g.select("id", F.explode(F.from_json("detail", "struct<mapping:map<string,string>>")["mapping"]).alias("old", "new"))
+    s = p.select(X.label_similarity(F.col("old"), F.col("new")).alias("s"))
+    return s.agg(F.count("*").alias("n"), F.round(F.avg("s"), 9).alias("mean_similarity"), F.round(F.avg(F.when(F.col("s") >= 0.5, 1.0).otherwise(0.0)), 9).alias("share_matching"))
