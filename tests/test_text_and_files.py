@@ -119,3 +119,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_reference_state_from_a_stream(spark, tmp_path):
+    from procmill.operators import references as R
+
+    refs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(6)], "id long, ref string").withColumn("at", F.timestamp_seconds("id"))
+    have = spark.createDataFrame([("a",)], "id string").withColumn("at", F.timestamp_seconds(F.lit(1)))
+    deltas = [R.reference_deltas(refs.where("id < 3"), "t", "ref", "at"), R.reference_deltas(refs.where("id >= 3"), "t", "ref", "at"), R.existence_deltas(have, "t", "id", "at")]
+    for d in deltas:
+        d.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    Q.counts_from_deltas(Q.parquet_stream(spark, str(tmp_path / "in"), deltas[0]), str(tmp_path / "state"), str(tmp_path / "log")).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "state/v2")).collect()}
+    assert got == {tuple(r) for r in R.key_state(*deltas).collect()} and R.current_orphans(spark.read.parquet(str(tmp_path / "state/v2"))).count() == 2
