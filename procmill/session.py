@@ -72,6 +72,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Deletes all tables that materialize() has written in the shared folder. Results that still read them can no longer be used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_folder(spark), "procmill"))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer parts than the cluster has cores, dealt out evenly before work that is heavy per row; others as they are.
 
