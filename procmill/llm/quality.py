@@ -16,7 +16,7 @@ from string import ascii_letters, ascii_uppercase, digits
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from procmill.llm.trees import Trees, fit
 from procmill.session import materialize, ship, spread
@@ -182,8 +182,6 @@ def ranks(long: DataFrame, parts: int | None = None) -> DataFrame:
     kind = "lang string, stat int, value double, n bigint, upto bigint, part int"
     local = materialize(counted.repartitionByRange(parts, "lang", "stat", "value").sortWithinPartitions("lang", "stat", "value").mapInArrow(_running, kind), "ranks")
     sums = local.groupBy("lang", "stat", "part").agg(F.max("upto").alias("s"))
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("lang", "stat")
     offsets = sums.select("lang", "stat", "part", (F.sum("s").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(w).alias("total"))
     return local.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", "n", (F.col("upto") + F.col("before")).alias("upto"), "total")
@@ -199,7 +197,7 @@ def outlier_scores(feats: DataFrame) -> DataFrame:
     r = ranks(long.select("lang", "stat", "value"))
     left, right = -F.log(F.col("upto") / F.col("total")), -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
     skew = long.groupBy("lang", "stat").agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
-    tails = r.select("lang", "stat", "value", left.alias("l"), right.alias("r")).join(F.broadcast(skew), ["lang", "stat"])  # languages times 5 rows
+    tails = r.select("lang", "stat", "value", left.alias("l"), right.alias("r")).join(skew, ["lang", "stat"])
     tails = tails.select("lang", "stat", "value", "l", "r", F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")).alias("a"))
     each = long.join(tails, ["lang", "stat", "value"])
     n = len(STATISTICS)
