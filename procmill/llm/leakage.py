@@ -2,8 +2,8 @@
 
 One Aho-Corasick automaton over blocks of the normalised evaluation texts; training texts are scanned once. A shared run of at
 least L consecutive words holds, wherever it begins, one whole block of L // 2 words that starts at a multiple of L // 2 in the
-evaluation text, so the automaton's patterns are those blocks only. Every hit is extended both ways to the longest shared run and
-counts if that has L words. The automaton works on words, each a code point of its own; words that no evaluation text has share one
+evaluation text, so the automaton's patterns are those blocks only. Every hit is extended both ways to the end of the shared run,
+which counts if it has L words; every such run is kept. The automaton works on words, each a code point of its own; words that no evaluation text has share one
 code that matches nothing.
 
 The evaluation texts are the query set. They are cut into shards of at most SHARD_WORDS words (and so code points), each of which
@@ -12,11 +12,12 @@ is broadcast, a proven bound; training texts are scanned against PASS shards at
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from procmill.llm.cross_split import split_of
 from procmill.llm.words import word_spans, words
@@ -26,27 +27,34 @@ from procmill.session import materialize, ship, spread
 SHARD_WORDS = 1_100_000
 #: Shards scanned in one pass over the training texts; each worker holds so many automata.
 PASS = 2
-#: Words of one piece of a very long evaluation text; pieces overlap by L - 1 words, so no run of L words is lost.
+#: Words of one piece of a very long evaluation text; pieces overlap by L - 1 words, so no run of L words is lost, and the parts of a
+#: run that goes on in the next piece overlap and are joined again.
 PIECE_WORDS = 50_000
 
 _UNKNOWN = "\x00"
 _PREPARED: dict[str, Automaton] = {}
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _words_of(least: int):
-    """(id, text) to pieces (id, no, start, words): normalised words joined by blanks."""
+    """(id, text) to pieces (id, start, words, n, doc): normalised words joined by blanks, and which text they are of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, texts, sizes = [], [], [], []
+            ids, starts, texts, sizes, docs = [], [], [], [], []
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist()):
                 ws = words(t)
+                doc = _digest(" ".join(ws)) if len(ws) >= least else b""
                 for at in range(0, max(len(ws) - least + 1, 0), PIECE_WORDS):
                     piece = ws[at : at + PIECE_WORDS + least - 1]
                     ids.append(i)
                     starts.append(at)
                     texts.append(" ".join(piece))
                     sizes.append(len(piece))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], ["id", "start", "words", "n"])
+                    docs.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(docs, pa.binary())], ["id", "start", "words", "n", "doc"])
 
     return run
 
@@ -85,12 +93,12 @@ class Automaton:
         self.empty = not places
 
     def scan(self, ws: list[str]) -> list[tuple[bytes, int, int, int]]:
-        """(key, first word here, first word there, words) of the longest run shared with each piece that shares `least` words."""
+        """(key, first word here, first word there, words) of every run of at least `least` words that a piece shares and that goes on neither way."""
         if self.empty or len(ws) < self.least:
             return []
         get = self.codes.get
         coded = "".join([get(w, _UNKNOWN) for w in ws])
-        best: dict[int, tuple[int, int, int]] = {}
+        runs: list[tuple[bytes, int, int, int]] = []
         done: dict[tuple[int, int], int] = {}
         for end, where in self.machine.iter(coded):
             here = end - self.block + 1
@@ -106,12 +114,13 @@ class Automaton:
                 while x < len(coded) and y < len(other) and coded[x] == other[y]:
                     x, y = x + 1, y + 1
                 done[diagonal] = x
-                if x - a >= self.least and x - a > best.get(no, (0, 0, 0))[2]:
-                    best[no] = (a, self.starts[no] + b, x - a)
-        return [(self.keys[no], *run) for no, run in best.items()]
+                if x - a >= self.least:
+                    runs.append((self.keys[no], a, self.starts[no] + b, x - a))
+        return runs
 
 
-def _scan(shared: list, least: int, with_offsets: bool):
+def _scan(shared: list, least: int, with_runs: bool):
+    """(id, text) to a row for every shared run, or without with_runs for every piece that shares one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = []
         for key, s in shared:  # a worker that lives on keeps what it built
@@ -125,30 +134,27 @@ def _scan(shared: list, least: int, with_offsets: bool):
             for i, t in zip(b["id"].to_pylist(), b["text"].to_pylist()):
                 ws = words(t)
                 got = [g for m in machines for g in m.scan(ws)]
-                if got:
-                    spans = word_spans(t) if with_offsets else None
-                    for key, here, there, n in got:
-                        at = (spans[here][1], spans[here + n - 1][2]) if spans else (None, None)
-                        rows.append((i, key, here, there, n, *at))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "key", "word_at", "eval_word_at", "n_words", "start", "stop"])
+                if not with_runs:
+                    rows += [(i, None, key, None, None, None, None, None) for key in {g[0] for g in got}]
+                elif got:
+                    spans, doc = word_spans(t), _digest(t)
+                    rows += [(i, doc, key, here, there, n, spans[here][1], spans[here + n - 1][2]) for key, here, there, n in got]
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = [pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "doc", "key", "word_at", "eval_word_at", "n_words", "start", "stop"])
 
     return run
 
 
-def leaked_passages(train: DataFrame, evaluation: DataFrame, least: int = 20, shard_words: int = SHARD_WORDS, with_offsets: bool = True) -> DataFrame:
-    """(train_id, eval_id, n_words, word_at, eval_word_at, start, stop): the longest shared run of each pair that shares `least` words.
+_HITS = "id string, doc binary, key binary, word_at int, eval_word_at int, n_words int, start int, stop int"
 
-    train and evaluation: (id string, text string). start and stop are the run's offsets in the original training text (null without
-    with_offsets). Equal evaluation texts are one pattern, expanded in the result; null, blank and shorter texts match nothing;
-    repeated rows count once; ids may be in both tables, but are never paired with themselves. Of equally long runs the first in the
-    training text counts. Empty tables give no rows.
-    """
+
+def _hits(train: DataFrame, evaluation: DataFrame, least: int, shard_words: int, with_runs: bool) -> DataFrame:
+    """The rows of _scan with the evaluation texts (eval_id, eval_doc, piece_at) that hold the piece; copies of a text are expanded here."""
     spark = train.sparkSession
     ship(spark)
-    pieces = spread(evaluation.where("id is not null and text is not null")).mapInArrow(_words_of(least), "id string, start int, words string, n int")
-    pieces = materialize(pieces.select("id", "start", F.unhex(F.sha2("words", 256)).alias("key"), "words", "n"), "evaluation")
+    pieces = spread(evaluation.where("id is not null and text is not null")).mapInArrow(_words_of(least), "id string, start int, words string, n int, doc binary")
+    pieces = materialize(pieces.select("id", "start", F.unhex(F.sha2("words", 256)).alias("key"), "words", "n", "doc"), "evaluation")
     unique = pieces.groupBy("key").agg(F.first("words").alias("words"), F.first("n").alias("n"))
     total = unique.agg(F.sum("n")).first()[0] or 0
     shards = -(-total // shard_words)
@@ -169,17 +175,35 @@ def leaked_passages(train: DataFrame, evaluation: DataFrame, least: int = 20, sh
         room = 0
         while held:
             shared.append((uuid.uuid4().hex, spark.sparkContext.broadcast(held.pop())))
-    kind = "id string, key binary, word_at int, eval_word_at int, n_words int, start int, stop int"
     hits = None
     for i in range(0, len(shared), PASS):
-        one = texts.mapInArrow(_scan(shared[i : i + PASS], least, with_offsets), kind)
+        one = texts.mapInArrow(_scan(shared[i : i + PASS], least, with_runs), _HITS)
         hits = one if hits is None else hits.union(one)
     if hits is None:
-        return spark.createDataFrame([], "train_id string, eval_id string, n_words int, word_at int, eval_word_at int, start int, stop int")
-    hits = hits.distinct()
-    out = hits.join(pieces.select("key", F.col("id").alias("eval_id"), F.col("start").alias("piece_at")), "key").where("id <> eval_id")
-    best = F.struct("n_words", (-F.col("word_at")).alias("first"), "word_at", (F.col("eval_word_at") + F.col("piece_at")).alias("eval_word_at"), "start", "stop")
-    return out.groupBy(F.col("id").alias("train_id"), "eval_id").agg(F.max(best).alias("m")).select("train_id", "eval_id", "m.n_words", "m.word_at", "m.eval_word_at", "m.start", "m.stop")
+        hits = spark.createDataFrame([], _HITS)
+    return hits.distinct().join(pieces.select("key", F.col("id").alias("eval_id"), F.col("doc").alias("eval_doc"), F.col("start").alias("piece_at")), "key").where("id <> eval_id")
+
+
+def leaked_pairs(train: DataFrame, evaluation: DataFrame, least: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(train_id, eval_id) of texts that share a run of at least `least` words; of the same rows as leaked_passages."""
+    return _hits(train, evaluation, least, shard_words, False).select(F.col("id").alias("train_id"), "eval_id").distinct()
+
+
+def leaked_passages(train: DataFrame, evaluation: DataFrame, least: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(train_id, eval_id, n_words, word_at, eval_word_at, start, stop): every shared run of at least `least` words that goes on neither way.
+
+    train and evaluation: (id string, text string). start and stop are the run's offsets in the original training text. Equal
+    evaluation texts are one pattern, expanded in the result; null, blank and shorter texts match nothing; repeated rows count once;
+    ids may be in both tables, but are never paired with themselves. A passage that is at several places of either text is a run at
+    each pair of places. Runs cut by the pieces of a long evaluation text are joined. Empty tables give no rows.
+    """
+    runs = _hits(train, evaluation, least, shard_words, True).withColumn("eval_word_at", F.col("eval_word_at") + F.col("piece_at"))
+    same = W.partitionBy("id", "doc", "eval_id", "eval_doc", F.col("word_at") - F.col("eval_word_at")).orderBy("word_at", "n_words")
+    before = same.rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("_new", (F.col("word_at") >= F.coalesce(F.max(F.col("word_at") + F.col("n_words")).over(before), F.lit(0))).cast("int"))
+    runs = runs.withColumn("_diagonal", F.col("word_at") - F.col("eval_word_at")).withColumn("_run", F.sum("_new").over(same.rowsBetween(W.unboundedPreceding, 0)))
+    out = runs.groupBy("id", "doc", "eval_id", "eval_doc", "_diagonal", "_run").agg(F.min("word_at").alias("word_at"), F.min("eval_word_at").alias("eval_word_at"), F.max(F.col("word_at") + F.col("n_words")).alias("_end"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return out.select(F.col("id").alias("train_id"), "eval_id", (F.col("_end") - F.col("word_at")).alias("n_words"), "word_at", "eval_word_at", "start", "stop").distinct()
 
 
 def _sides(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,9 +214,9 @@ def _sides(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def found(samples: DataFrame) -> DataFrame:
     t, e = _sides(samples)
-    return leaked_passages(t, e, with_offsets=False).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
+    return leaked_pairs(t, e).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 
 def spans(samples: DataFrame) -> DataFrame:
-    """Every leaked passage with its place in the training text."""
+    """Every leaked passage with its place in the training text; a pair of texts has as many rows as it shares passages."""
     return leaked_passages(*_sides(samples))
