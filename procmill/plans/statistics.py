@@ -42,7 +42,7 @@ def mean_of_medians(spark, d):
 
 @query(f"WITH {_EVAL}, s AS (SELECT arm, item, count(*) AS n, max(coalesce(value, 0)) - min(coalesce(value, 0)) AS spread FROM x WHERE rep = 7 GROUP BY ALL HAVING count(*) > 1) SELECT arm, count(*) AS n_items, round(max(spread), 6) AS max_spread, CAST(sum(CASE WHEN spread > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_divergent FROM s GROUP BY arm")
 def spread_per_item(spark, d):
-    return S.item_spread(_eval(spark, d).where("rep = 7"), "arm", "item", "value").withColumn("max_spread", F.round("max_spread", 6))
+    return S.item_spread(_eval(spark, d), "arm", "item", "value").withColumn("max_spread", F.round("max_spread", 6))
 
 
 @query(f"WITH {_EVAL} SELECT arm, count(*) AS n, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unscored, CAST(sum(valid) AS BIGINT) AS n_valid FROM x GROUP BY arm")
@@ -138,7 +138,7 @@ pk AS (SELECT b.b, CAST('0x' || substr(md5('7-' || b.b || '-' || ids.i), 1, 8) A
 r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0 AS p, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0 AS q FROM v)
 SELECT CAST(b AS INTEGER) AS b, count(*) AS n, round(corr(p, q), 9) AS rho FROM r GROUP BY b""")
 def cluster_bootstrap(spark, d):
-    e = table(spark, d, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("c"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("c"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
     return S.cluster_bootstrap_rho(e, "c", "x", "y", 10, 7).withColumn("rho", F.round("rho", 9))
 
 
