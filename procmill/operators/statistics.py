@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from procmill.operators.ranks import exact_ranks, with_average_rank
+from procmill.session import ship
 
 
 def item_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
@@ -125,28 +126,68 @@ def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
 
 
 def bootstrap(values: DataFrame, value: str, order: str, times: int, seed: int, stat: str = "mean") -> DataFrame:
-    """(b, stat): the mean or median of `times` resamples of the rows. The values are one per item, numbered by `order`."""
+    """(b, stat): the mean or median of `times` resamples of the rows. The values are one per item, numbered by `order`.
+
+    Each task draws whole resamples and keeps how often they hold each distinct value, so drawn rows are never shuffled; the numbered
+    values are broadcast, one row an item.
+    """
+    spark = values.sparkSession
     numbered = values.where(F.col(value).isNotNull()).select((F.row_number().over(W.orderBy(order)) - 1).alias("_i"), F.col(value).alias("_v"))
-    n = numbered.agg(F.count("*").alias("_n"))
-    picks = numbered.select("_i").join(F.broadcast(n)).select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))  # one row joined to all: the count
-    picks = picks.select("b", draw(seed, F.col("b"), F.col("_i"), F.col("_n")).alias("_i"))
-    return picks.join(numbered, "_i").groupBy("b").agg((F.median("_v") if stat == "median" else F.avg("_v")).alias("stat"))
+    slots = numbered.select("_i").join(F.broadcast(numbered.agg(F.count("*").alias("_n"))))  # one row joined to all: the count
+    draws = spark.range(times).select(F.col("id").cast("int").alias("b")).repartition(4 * spark.sparkContext.defaultParallelism, "b")
+    picks = draws.join(F.broadcast(slots)).select("b", draw(seed, F.col("b"), F.col("_i"), F.col("_n")).alias("_i"))
+    held = picks.join(F.broadcast(numbered), "_i").groupBy("b", "_v").agg(F.count("*").alias("_w"))
+    return held.groupBy("b").agg((F.percentile("_v", 0.5, F.col("_w")) if stat == "median" else F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("stat"))
 
 
-def interval(stats: DataFrame, times: int, alpha: float = 0.05, upper_less_one: bool = False) -> DataFrame:
-    """(low, high) at sorted positions int(alpha / 2 * n) and int((1 - alpha / 2) * n), the upper one less 1 if asked."""
-    ranked = stats.select("stat", (F.row_number().over(W.orderBy("stat")) - 1).alias("_k"))
-    lo, hi = int(alpha / 2 * times), min(int((1 - alpha / 2) * times) - upper_less_one, times - 1)
+def interval(stats: DataFrame, times: int | None = None, alpha: float = 0.05, upper_less_one: bool = False) -> DataFrame:
+    """(low, high) at sorted positions int(alpha / 2 * n) and int((1 - alpha / 2) * n), the upper one less 1 if asked; n is `times`, or else the number of rows."""
+    ranked = stats.select("stat", (F.row_number().over(W.orderBy("stat")) - 1).alias("_k"), (F.lit(times) if times else F.count("*").over(W.partitionBy())).alias("_n"))
+    lo, hi = F.floor(F.lit(alpha / 2) * F.col("_n")), F.least(F.floor(F.lit(1 - alpha / 2) * F.col("_n")) - int(upper_less_one), F.col("_n") - 1)
     return ranked.agg(F.min(F.when(F.col("_k") == lo, F.col("stat"))).alias("low"), F.min(F.when(F.col("_k") == hi, F.col("stat"))).alias("high"))
 
 
+def _weighted_rhos(clusters: int, times: int, blocks: int, seed: int):
+    """All rows (_block, _i, _x, _y, _n) to (b, n, rho) of the resamples b of that block: weights of clusters, no rows are copied."""
+    def run(rows):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        rows = rows.sort_values("_y")
+        c, n = rows["_i"].to_numpy(), rows["_n"].to_numpy().astype(float)
+        y, (xs, x) = rows["_y"].to_numpy(), np.unique(rows["_x"].to_numpy(), return_inverse=True)
+        at = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
+        out = []
+        for b in range(int(rows["_block"].iloc[0]), times, blocks):
+            picks = [int(hashlib.md5(f"{seed}-{b}-{i}".encode()).hexdigest()[:8], 16) % clusters for i in range(clusters)]  # as in draw()
+            w = np.bincount(picks, minlength=clusters)[c] * n
+            wx, wy = np.bincount(x, w, len(xs)), np.add.reduceat(w, at)
+            total = wy.sum()
+            rx, ry = (np.cumsum(v) - (v - 1) / 2 - (total + 1) / 2 for v in (wx, wy))  # mean ranks of ties, less the mean of all ranks
+            sx, sy = (wx * rx * rx).sum(), (wy * ry * ry).sum()
+            if sx > 0 and sy > 0:
+                out.append((b, int(total), float((np.add.reduceat(w * rx[x], at) * ry).sum() / np.sqrt(sx * sy))))
+        return pd.DataFrame(out, columns=["b", "n", "rho"])
+
+    return run
+
+
 def cluster_bootstrap_rho(df: DataFrame, cluster: str, x: str, y: str, times: int, seed: int) -> DataFrame:
-    """(b, n, rho): Spearman's rho over resampled clusters; resamples with a constant side are left out."""
+    """(b, n, rho): Spearman's rho over resampled clusters; resamples with a constant side are left out.
+
+    A resample is a weight for each cluster, and rows count by weight. Resamples are dealt out in blocks; a task that works on a block
+    holds all rows as numbers (cluster, rank of x, rank of y, copies).
+    """
+    spark = df.sparkSession
+    ship(spark)
     ids = df.select(cluster).distinct().select(cluster, (F.row_number().over(W.orderBy(cluster)) - 1).alias("_i"))
-    n = ids.agg(F.count("*").alias("_n"))
-    picks = ids.select("_i").join(F.broadcast(n)).select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    picks = picks.select("b", F.col("_i").alias("slot"), draw(seed, F.col("b"), F.col("_i"), F.col("_n")).alias("_i"))
-    return spearman(picks.join(ids, "_i").join(df, cluster), x, y, ["b"]).where("rho is not null")
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(ids, cluster)
+    d = with_average_rank(with_average_rank(d, [], x, "_x"), [], y, "_y").groupBy("_i", "_x", "_y").agg(F.count("*").alias("_n"))
+    blocks = min(2 * spark.sparkContext.defaultParallelism, times)
+    d = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "_block")
+    return d.groupBy("_block").applyInPandas(_weighted_rhos(ids.count(), times, blocks, seed), "b int, n bigint, rho double")
 
 
 def mean_ratio(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:

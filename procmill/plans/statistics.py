@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from procmill.operators import statistics as S
 from procmill.session import table
 
+#: Resamples of every bootstrap.
+TIMES = 10_000
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -120,17 +123,17 @@ _BOOT = "k AS (SELECT row_number() OVER (ORDER BY item) - 1 AS i, d FROM pr), c
 
 @query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')} SELECT round(min(CASE WHEN n = 5 THEN s END), 9) AS low, round(min(CASE WHEN n = 194 THEN s END), 9) AS high FROM sr")
 def bootstrap_mean_ci(spark, d):
-    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", 200, 42), 200, upper_less_one=True).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42), TIMES, upper_less_one=True).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('median(k.d)')} SELECT round(min(CASE WHEN n = 5 THEN s END), 9) AS low, round(min(CASE WHEN n = 195 THEN s END), 9) AS high FROM sr")
 def bootstrap_median_ci(spark, d):
-    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", 200, 42, "median"), 200).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42, "median"), TIMES).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 5 THEN s END) AS low, min(CASE WHEN n = 194 THEN s END) AS high FROM sr) SELECT CASE WHEN low > -0.01 AND high < 0.01 THEN 'equivalent' WHEN low > 0.01 THEN 'superior' WHEN high < -0.01 THEN 'inferior' ELSE 'inconclusive' END AS verdict FROM ci")
 def equivalence_verdict(spark, d):
-    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", 200, 42), 200, upper_less_one=True).select(S.verdict(F.col("low"), F.col("high"), 0.01).alias("verdict"))
+    return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42), TIMES, upper_less_one=True).select(S.verdict(F.col("low"), F.col("high"), 0.01).alias("verdict"))
 
 
 @query("""WITH e AS (SELECT l_suppkey AS c, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_linenumber = 7), ids AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM (SELECT DISTINCT c FROM e)), n AS (SELECT count(*) AS n FROM ids),
@@ -138,8 +141,19 @@ pk AS (SELECT b.b, CAST('0x' || substr(md5('7-' || b.b || '-' || ids.i), 1, 8) A
 r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0 AS p, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0 AS q FROM v)
 SELECT CAST(b AS INTEGER) AS b, count(*) AS n, round(corr(p, q), 9) AS rho FROM r GROUP BY b""")
 def cluster_bootstrap(spark, d):
+    return _cluster_rhos(spark, d).withColumn("rho", F.round("rho", 9))
+
+
+@query()
+def cluster_bootstrap_ci(spark, d):
+    """The interval of rho over resampled clusters; positions by the number of resamples kept."""
+    ci = S.interval(_cluster_rhos(spark, d).select(F.col("rho").alias("stat")), upper_less_one=True)
+    return ci.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def _cluster_rhos(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("c"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
-    return S.cluster_bootstrap_rho(e, "c", "x", "y", 10, 7).withColumn("rho", F.round("rho", 9))
+    return S.cluster_bootstrap_rho(e, "c", "x", "y", TIMES, 7)
 
 
 @query("WITH r AS (SELECT l_returnflag AS arm, l_extendedprice / l_quantity AS r FROM lineitem WHERE l_quantity <> 0) SELECT arm, count(*) AS n, round(avg(r), 6) AS mean_ratio, round(median(r), 6) AS median_ratio, round(1 - 1 / avg(r), 9) AS reduction FROM r GROUP BY arm")
@@ -180,6 +194,6 @@ def fold_repetitions(spark, d):
 def contrast_rows(spark, d):
     """A contrast as a figure needs it: difference and the lengths of its error bars."""
     p = _pairs(spark, d)
-    ci = S.interval(S.bootstrap(p, "d", "item", 200, 42), 200, upper_less_one=True)
+    ci = S.interval(S.bootstrap(p, "d", "item", TIMES, 42), TIMES, upper_less_one=True)
     m = p.agg(F.avg("d").alias("diff"), F.count("*").alias("n"))
     return m.join(F.broadcast(ci)).select(F.lit("A - R").alias("contrast"), "n", F.round("diff", 9).alias("diff"), F.round(F.col("high") - F.col("diff"), 9).alias("up"), F.round(F.col("diff") - F.col("low"), 9).alias("down"))  # one row each
