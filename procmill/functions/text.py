@@ -158,8 +158,8 @@ def sections(text: Column, title: Column, least_words: int = 100) -> Column:
 # ---- names and small texts ----
 
 def slug(c: Column, longest: int = 60) -> Column:
-    """Lower case, word characters only, blanks and hyphens as one underscore, cut at `longest`."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s-]", ""), r"\A\s+|\s+\z", ""), r"[\s-]+", "_"), 1, longest)
+    """Lower case, word characters of any script only, blanks and hyphens as one underscore, cut at `longest`."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", ""), r"(?U)\A\s+|\s+\z", ""), r"(?U)[\s-]+", "_"), 1, longest)
 
 
 def word_slug(c: Column) -> Column:

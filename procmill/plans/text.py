@@ -67,7 +67,7 @@ def section_split(spark, d):
 
 @query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9_\s-]', '', 'g')), '[\s-]+', '_', 'g'), 1, 60) AS slug FROM documents WHERE lang = 'en'")
 def slugs(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.slug(F.col("title")).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.slug(F.col("title")).alias("slug"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM documents")
