@@ -75,6 +75,11 @@ def word_slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", X.word_slug(F.col("title")).alias("slug"))
 
 
+def _split():
+    """The split's name without blanks around it, in lower case."""
+    return F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))
+
+
 _LW = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g')), ' '), lambda v: v <> ''))"
 
 
@@ -83,7 +88,7 @@ SELECT t.id AS a, u.id AS b, round(len(list_intersect(t.w, u.w)) / len(list_dist
 def label_jaccard_align(spark, d):
     """Titles of holdout and validation samples of one source that share a fifth of their words, met through their words."""
     s = table(spark, d, "samples").where("title is not null")
-    one = lambda n: s.where(F.col("split") == n).select("id", "source", "title").distinct().withColumn("w", X.label_words(F.col("title")))
+    one = lambda n: s.where(_split() == n).select("id", "source", "title").distinct().withColumn("w", X.label_words(F.col("title")))
     a, b = one("holdout").select(F.col("id").alias("a"), "source", F.col("w").alias("wa")), one("validation").select(F.col("id").alias("b"), "source", F.col("w").alias("wb"))
     hits = a.select("a", "source", F.size("wa").alias("na"), F.explode("wa").alias("w")).join(b.select("b", "source", F.size("wb").alias("nb"), F.explode("wb").alias("w")), ["source", "w"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     sim = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
@@ -97,7 +102,7 @@ _G = "list_filter(string_split(regexp_replace(lower(coalesce(raw_text, '')), '[^
 t AS (SELECT DISTINCT g FROM g WHERE split = 'sft'), e AS (SELECT DISTINCT id, g FROM g WHERE split = 'holdout') SELECT id, count(*) AS n_grams, count(t.g) AS n_shared, round(count(t.g) / count(*), 9) AS share FROM e LEFT JOIN t ON e.g = t.g GROUP BY id HAVING count(t.g) > 0""")
 def ngram_contamination(spark, d):
     """The share of every holdout text's distinct runs of 8 words that training texts have too."""
-    g = spread(table(spark, d, "samples").select("id", "split", "raw_text")).distinct().select("id", "split", F.explode(X.grams(F.coalesce("raw_text", F.lit("")), 8)).alias("g")).select("id", "split", F.xxhash64("g").alias("g"))
+    g = spread(table(spark, d, "samples").select("id", "split", "raw_text")).distinct().select("id", _split().alias("split"), F.explode(X.grams(F.coalesce("raw_text", F.lit("")), 8)).alias("g")).select("id", "split", F.xxhash64("g").alias("g"))
     e, t = g.where("split = 'holdout'").select("id", "g").distinct(), g.where("split = 'sft'").select("g", F.lit(1).alias("hit")).distinct()
     s = e.join(t, "g", "left").groupBy("id").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_shared")).where("n_shared > 0")
     return s.withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 9))
