@@ -45,18 +45,17 @@ def convertibility(spark, d):
 
 @query()
 def clean_markdown(spark, d):
-    ship(spark)
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.clean_markdown(F.col("text")).alias("cleaned"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS cleaned FROM documents")
 def links_and_images(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.link_texts(X.without_images(F.col("text"))).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", X.cut(F.col("text"), "images", "links").alias("cleaned"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<!--.*?-->', '', 'gs'), '</?[a-zA-Z][^>]*>', '', 'g'), '\{[^}]*\}', '', 'g') AS cleaned FROM documents")
 def without_html(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.without_html(F.col("text")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", X.cut(F.col("text"), "html").alias("cleaned"))
 
 
 @query()
@@ -65,7 +64,7 @@ def section_split(spark, d):
     return x.select("doc_id", "no", F.col("s.title").alias("section_title"), F.col("s.words").alias("words"))
 
 
-@query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9_\s-]', '', 'g')), '[\s-]+', '_', 'g'), 1, 60) AS slug FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(lower(title), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g')), '[\s-]+', '_', 'g'), 1, 60) AS slug FROM documents")
 def slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", X.slug(F.col("title")).alias("slug"))
 
@@ -80,10 +79,11 @@ def _split():
     return F.lower(F.regexp_replace("split", r"(?U)^\s+|\s+$", ""))
 
 
+_SPLIT = r"lower(regexp_replace(split, '^\s+|\s+$', '', 'g'))"
 _LW = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g')), ' '), lambda v: v <> ''))"
 
 
-@query(f"""WITH t AS (SELECT DISTINCT id, source, {_LW.format('title')} AS w FROM samples WHERE title IS NOT NULL AND split = 'holdout'), u AS (SELECT DISTINCT id, source, {_LW.format('title')} AS w FROM samples WHERE title IS NOT NULL AND split = 'validation')
+@query(f"""WITH t AS (SELECT DISTINCT id, source, {_LW.format('title')} AS w FROM samples WHERE title IS NOT NULL AND {_SPLIT} = 'holdout'), u AS (SELECT DISTINCT id, source, {_LW.format('title')} AS w FROM samples WHERE title IS NOT NULL AND {_SPLIT} = 'validation')
 SELECT t.id AS a, u.id AS b, round(len(list_intersect(t.w, u.w)) / len(list_distinct(list_concat(t.w, u.w))), 9) AS similarity FROM t JOIN u ON t.source = u.source WHERE len(list_intersect(t.w, u.w)) / len(list_distinct(list_concat(t.w, u.w))) >= 0.2""")
 def label_jaccard_align(spark, d):
     """Titles of holdout and validation samples of one source that share a fifth of their words, met through their words."""
@@ -98,7 +98,7 @@ def label_jaccard_align(spark, d):
 _G = "list_filter(string_split(regexp_replace(lower(coalesce(raw_text, '')), '[^0-9a-z]+', ' ', 'g'), ' '), lambda v: v <> '')"
 
 
-@query(f"""WITH w AS (SELECT DISTINCT id, split, {_G} AS w FROM samples), g AS (SELECT id, split, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8),
+@query(f"""WITH w AS (SELECT DISTINCT id, {_SPLIT} AS split, {_G} AS w FROM samples), g AS (SELECT id, split, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8),
 t AS (SELECT DISTINCT g FROM g WHERE split = 'sft'), e AS (SELECT DISTINCT id, g FROM g WHERE split = 'holdout') SELECT id, count(*) AS n_grams, count(t.g) AS n_shared, round(count(t.g) / count(*), 9) AS share FROM e LEFT JOIN t ON e.g = t.g GROUP BY id HAVING count(t.g) > 0""")
 def ngram_contamination(spark, d):
     """The share of every holdout text's distinct runs of 8 words that training texts have too."""
