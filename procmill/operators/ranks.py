@@ -15,7 +15,7 @@ from procmill.session import materialize
 
 
 def same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns], F.lit(True))
 
 
 def exact_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from procmill.operators.ranks import exact_ranks, with_average_rank
-from procmill.session import ship
+from procmill.operators.ranks import exact_ranks, same, with_average_rank
+from procmill.session import materialize, ship, spread
 
 
 def item_medians(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
@@ -38,7 +38,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[f
 
 
 def average_rank(value: str, keys: Sequence[str] = (), order: Column | None = None) -> Column:
-    """The rank of a value within its keys, ties sharing the mean of their ranks."""
+    """The rank of a value within its keys, ties sharing the mean of their ranks; for keys of bounded size (else ranks.with_average_rank)."""
     o = order if order is not None else F.col(value)
     return F.rank().over(W.partitionBy(*keys).orderBy(o)) + (F.count("*").over(W.partitionBy(*keys, o)) - 1) / 2.0
 
@@ -60,9 +60,13 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), digits: int = 9) ->
 
     Differences are rounded to `digits` first, so that sums that differ in their last bits only still tie.
     """
-    d = pairs.withColumn("_d", F.round("d", digits)).where("_d <> 0").withColumn("_a", F.abs("_d"))
-    d = d.withColumn("_r", average_rank("_a", keys)).withColumn("_t", F.count("*").over(W.partitionBy(*keys, "_a")))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
+    k = list(keys)
+    d = pairs.select(*k, F.round("d", digits).alias("_d")).where("_d <> 0").select(*k, F.abs("_d").alias("_a"), (F.col("_d") > 0).cast("bigint").alias("_up"))
+    r = exact_ranks(d, k, "_a").select(*k, "_a", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("_r"))
+    ups = d.groupBy(*k, "_a").agg(F.sum("_up").alias("_p"))
+    x = r.join(ups, same(r, ups, [*k, "_a"])).select(*[r[c] for c in k], "n", "_r", "_p")  # a row for each distinct size, however many pairs share it
+    n = F.col("n")
+    return x.groupBy(*k).agg(F.sum("n").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("w_plus"), F.sum((n - F.col("_p")) * F.col("_r")).alias("w_minus"), F.sum(n * (n * n - 1)).alias("ties"))
 
 
 def signed_rank_p(n: int, w_plus: float, ties: float) -> float:
@@ -128,16 +132,18 @@ def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
 def bootstrap(values: DataFrame, value: str, order: str, times: int, seed: int, stat: str = "mean") -> DataFrame:
     """(b, stat): the mean or median of `times` resamples of the rows. The values are one per item, numbered by `order`.
 
-    Each task draws whole resamples and keeps how often they hold each distinct value, so drawn rows are never shuffled; the numbered
-    values are broadcast, one row an item.
+    Every slot of every resample draws its item where the slot's row is, so nothing is dealt out first; for means the drawn values are
+    summed before the shuffle, which holds `times` rows a task. The numbers come from exact ranks, not from one sorted task. Drawn
+    items meet their values in a join that is broadcast only where Spark finds the items small.
     """
-    spark = values.sparkSession
-    numbered = values.where(F.col(value).isNotNull()).select((F.row_number().over(W.orderBy(order)) - 1).alias("_i"), F.col(value).alias("_v"))
-    slots = numbered.select("_i").join(F.broadcast(numbered.agg(F.count("*").alias("_n"))))  # one row joined to all: the count
-    draws = spark.range(times).select(F.col("id").cast("int").alias("b")).repartition(4 * spark.sparkContext.defaultParallelism, "b")
-    picks = draws.join(F.broadcast(slots)).select("b", draw(seed, F.col("b"), F.col("_i"), F.col("_n")).alias("_i"))
-    held = picks.join(F.broadcast(numbered), "_i").groupBy("b", "_v").agg(F.count("*").alias("_w"))
-    return held.groupBy("b").agg((F.percentile("_v", 0.5, F.col("_w")) if stat == "median" else F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("stat"))
+    numbered = exact_ranks(values.where(F.col(value).isNotNull()), [], order).select((F.col("upto") - 1).alias("_i"), F.col(order).alias("_o"), F.col("total").alias("_n"))
+    held = values.where(F.col(value).isNotNull()).select(F.col(order).alias("_o"), F.col(value).alias("_v"))
+    numbered = materialize(numbered.join(held, "_o").select("_i", "_v", "_n"), "items")
+    slots = spread(numbered.select("_i", "_n")).select("_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
+    drawn = slots.select("b", draw(seed, F.col("b"), F.col("_i"), F.col("_n")).alias("_i")).join(numbered.select("_i", "_v"), "_i")
+    if stat == "mean":
+        return drawn.groupBy("b").agg(F.avg("_v").alias("stat"))
+    return drawn.groupBy("b", "_v").agg(F.count("*").alias("_w")).groupBy("b").agg(F.percentile("_v", 0.5, F.col("_w")).alias("stat"))
 
 
 def interval(stats: DataFrame, times: int | None = None, alpha: float = 0.05, upper_less_one: bool = False) -> DataFrame:
@@ -190,7 +196,17 @@ def cluster_bootstrap_rho(df: DataFrame, cluster: str, x: str, y: str, times: in
     return d.groupBy("_block").applyInPandas(_weighted_rhos(ids.count(), times, blocks, seed), "b int, n bigint, rho double")
 
 
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name) of any number of rows per key, by exact_ranks: the value in the middle, or the mean of the two."""
+    c = exact_ranks(df, keys, value)
+    at = lambda k: F.min(F.when(F.col("upto") > F.floor((F.col("total") - k) / 2), F.col(value)))
+    return c.groupBy(*keys).agg(((at(1) + at(0)) / 2).alias(name))
+
+
 def mean_ratio(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of ratios x / y (not the ratio of means), their median, and the reduction 1 - 1 / mean; rows with y null or 0 are left out."""
-    r = df.where(F.col(y) != 0).withColumn("_r", F.col(x) / F.col(y))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_r").alias("mean_ratio"), F.median("_r").alias("median_ratio")).withColumn("reduction", 1 - 1 / F.col("mean_ratio"))
+    k = list(keys)
+    r = df.where(F.col(y) != 0).select(*k, (F.col(x) / F.col(y)).cast("double").alias("_r"))
+    m = r.groupBy(*k).agg(F.count("*").alias("n"), F.avg("_r").alias("mean_ratio"))
+    med = exact_median(r, k, "_r", "median_ratio")
+    return m.join(med, same(m, med, k) if k else F.lit(True), "left").select(*[m[c] for c in k], "n", "mean_ratio", "median_ratio", (1 - 1 / F.col("mean_ratio")).alias("reduction"))

@@ -43,7 +43,7 @@ def mean_of_medians(spark, d):
     return S.arm_means(S.item_medians(_eval(spark, d), ["arm", "item"], "value"), "arm").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"WITH {_EVAL}, s AS (SELECT arm, item, count(*) AS n, max(coalesce(value, 0)) - min(coalesce(value, 0)) AS spread FROM x WHERE rep = 7 GROUP BY ALL HAVING count(*) > 1) SELECT arm, count(*) AS n_items, round(max(spread), 6) AS max_spread, CAST(sum(CASE WHEN spread > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_divergent FROM s GROUP BY arm")
+@query(f"WITH {_EVAL}, s AS (SELECT arm, item, count(*) AS n, max(coalesce(value, 0)) - min(coalesce(value, 0)) AS spread FROM x GROUP BY ALL HAVING count(*) > 1) SELECT arm, count(*) AS n_items, round(max(spread), 6) AS max_spread, CAST(sum(CASE WHEN spread > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_divergent FROM s GROUP BY arm")
 def spread_per_item(spark, d):
     return S.item_spread(_eval(spark, d), "arm", "item", "value").withColumn("max_spread", F.round("max_spread", 6))
 
@@ -118,28 +118,25 @@ def concordance(spark, d):
     return S.concordance(_eval(spark, d), "value", "l_tax", ["arm"]).withColumn("concordance", F.round("concordance", 9))
 
 
-_BOOT = "k AS (SELECT row_number() OVER (ORDER BY item) - 1 AS i, d FROM pr), c AS (SELECT count(*) AS n FROM k), pk AS (SELECT b.b, CAST('0x' || substr(md5('42-' || b.b || '-' || k.i), 1, 8) AS BIGINT) % c.n AS i FROM k, c, (SELECT unnest(range(200)) AS b) b), st AS (SELECT pk.b, {} AS s FROM pk JOIN k ON k.i = pk.i GROUP BY pk.b), sr AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS n FROM st)"
+_BOOT = "k AS (SELECT row_number() OVER (ORDER BY item) - 1 AS i, d FROM pr), c AS (SELECT count(*) AS n FROM k), pk AS (SELECT b.b, CAST('0x' || substr(md5('42-' || b.b || '-' || k.i), 1, 8) AS BIGINT) % c.n AS i FROM k, c, (SELECT unnest(range(10000)) AS b) b), st AS (SELECT pk.b, {} AS s FROM pk JOIN k ON k.i = pk.i GROUP BY pk.b), sr AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS n FROM st)"
 
 
-@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')} SELECT round(min(CASE WHEN n = 5 THEN s END), 9) AS low, round(min(CASE WHEN n = 194 THEN s END), 9) AS high FROM sr")
+@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')} SELECT round(min(CASE WHEN n = 250 THEN s END), 9) AS low, round(min(CASE WHEN n = 9749 THEN s END), 9) AS high FROM sr")
 def bootstrap_mean_ci(spark, d):
     return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42), TIMES, upper_less_one=True).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('median(k.d)')} SELECT round(min(CASE WHEN n = 5 THEN s END), 9) AS low, round(min(CASE WHEN n = 195 THEN s END), 9) AS high FROM sr")
+@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('median(k.d)')} SELECT round(min(CASE WHEN n = 250 THEN s END), 9) AS low, round(min(CASE WHEN n = 9750 THEN s END), 9) AS high FROM sr")
 def bootstrap_median_ci(spark, d):
     return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42, "median"), TIMES).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
-@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 5 THEN s END) AS low, min(CASE WHEN n = 194 THEN s END) AS high FROM sr) SELECT CASE WHEN low > -0.01 AND high < 0.01 THEN 'equivalent' WHEN low > 0.01 THEN 'superior' WHEN high < -0.01 THEN 'inferior' ELSE 'inconclusive' END AS verdict FROM ci")
+@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 250 THEN s END) AS low, min(CASE WHEN n = 9749 THEN s END) AS high FROM sr) SELECT CASE WHEN low > -0.01 AND high < 0.01 THEN 'equivalent' WHEN low > 0.01 THEN 'superior' WHEN high < -0.01 THEN 'inferior' ELSE 'inconclusive' END AS verdict FROM ci")
 def equivalence_verdict(spark, d):
     return S.interval(S.bootstrap(_pairs(spark, d), "d", "item", TIMES, 42), TIMES, upper_less_one=True).select(S.verdict(F.col("low"), F.col("high"), 0.01).alias("verdict"))
 
 
-@query("""WITH e AS (SELECT l_suppkey AS c, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_linenumber = 7), ids AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i FROM (SELECT DISTINCT c FROM e)), n AS (SELECT count(*) AS n FROM ids),
-pk AS (SELECT b.b, CAST('0x' || substr(md5('7-' || b.b || '-' || ids.i), 1, 8) AS BIGINT) % n.n AS i FROM ids, n, (SELECT unnest(range(10)) AS b) b), v AS (SELECT pk.b, e.x, e.y FROM pk JOIN ids ON ids.i = pk.i JOIN e ON e.c = ids.c),
-r AS (SELECT b, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0 AS p, rank() OVER (PARTITION BY b ORDER BY y) + (count(*) OVER (PARTITION BY b, y) - 1) / 2.0 AS q FROM v)
-SELECT CAST(b AS INTEGER) AS b, count(*) AS n, round(corr(p, q), 9) AS rho FROM r GROUP BY b""")
+@query()
 def cluster_bootstrap(spark, d):
     return _cluster_rhos(spark, d).withColumn("rho", F.round("rho", 9))
 
@@ -190,7 +187,7 @@ def fold_repetitions(spark, d):
     return r.select("target", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["q"].cast("string"))), ",").alias("reps"), F.size("r").cast("bigint").alias("n"))
 
 
-@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 5 THEN s END) AS low, min(CASE WHEN n = 194 THEN s END) AS high FROM sr), mm AS (SELECT avg(d) AS diff, count(*) AS n FROM pr) SELECT 'A - R' AS contrast, n, round(diff, 9) AS diff, round(high - diff, 9) AS up, round(diff - low, 9) AS down FROM mm, ci")
+@query(f"WITH {_EVAL}, {_PAIRED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 250 THEN s END) AS low, min(CASE WHEN n = 9749 THEN s END) AS high FROM sr), mm AS (SELECT avg(d) AS diff, count(*) AS n FROM pr) SELECT 'A - R' AS contrast, n, round(diff, 9) AS diff, round(high - diff, 9) AS up, round(diff - low, 9) AS down FROM mm, ci")
 def contrast_rows(spark, d):
     """A contrast as a figure needs it: difference and the lengths of its error bars."""
     p = _pairs(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,11 +53,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests, local use) a temporary one of our own."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a temporary one of our own, but in local mode only: executors on
+    other machines could not read it, so a cluster without the setting is refused."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError(f"spark.checkpoint.dir is unset on {sc.master}: intermediate tables need a folder that every executor can read")
     own = getattr(sc, "_procmill_folder", None)
     if own is None:
         own = sc._procmill_folder = tempfile.mkdtemp(prefix="procmill-shared-")
@@ -64,18 +68,52 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def _filesystem(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether a file or folder is there. Errors of the file system are raised, not taken for an answer."""
+    fs, path = _filesystem(spark, folder)
+    return fs.exists(path)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    fs, path = _filesystem(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(path)]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _filesystem(spark, folder)
+    fs.delete(path, True)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This session's part of the shared folder; the file system deletes it when the driver's JVM ends."""
+    sc = spark.sparkContext
+    own = getattr(sc, "_procmill_own", None)
+    if own is None:
+        own = sc._procmill_own = os.path.join(shared_folder(spark), "procmill", f"{sc.applicationId}-{uuid.uuid4().hex[:8]}")
+        fs, path = _filesystem(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table of the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "procmill", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(own_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Deletes all tables that materialize() has written in the shared folder. Results that still read them can no longer be used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_folder(spark), "procmill"))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the tables that this session's materialize() has written. Results that still read them can no longer be used."""
+    fs, path = _filesystem(spark, own_folder(spark))
+    fs.delete(path, True)
+    fs.mkdirs(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def numbered_texts(spark: SparkSession, path: str, bands: Sequence[tuple[int, in
     for lo, hi, name in reversed(list(bands)):
         origin = F.when(number.between(lo, hi), name).otherwise(origin)
     body = F.regexp_replace("text", r"(?m)\A\s*Title:[^\n]*\n?", "")
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     title = F.trim(F.regexp_extract("text", r"\A\s*Title:([^\n]*)", 1))
     return f.select(F.format_string(f"{source}_%08d", number).alias("id"), F.lit(source).alias("source"), F.nullif(title, F.lit("")).alias("title"), F.array_join(lines, " ").alias("raw_text"), number.alias("number"), origin.alias("origin"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from procmill.operators.references import key_state
 from procmill.operators.relational import pending
+from procmill.session import exists, names_in, remove
 
 
 def parquet_stream(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
@@ -20,16 +22,13 @@ def run_queue(stream: DataFrame, results: str, keys: Sequence[str], work: Callab
     """Each micro-batch's rows whose keys have no result yet are worked on and appended to `results` (parquet).
 
     A batch that is run again after a failure finds its own rows done, so rows are appended once. Within a batch equal keys count once.
+    Only a folder that is not there counts as no results; one that cannot be read fails the batch.
     """
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         todo = df.dropDuplicates(list(keys))
-        try:
-            done = spark.read.parquet(results)
-        except Exception:  # noqa: BLE001 - nothing written yet
-            done = None
-        if done is not None:
-            todo = pending(todo, done, keys)
+        if exists(spark, results) and any(f[0] not in "._" for f in names_in(spark, results)):
+            todo = pending(todo, spark.read.parquet(results), keys)
         work(todo).write.mode("append").parquet(results)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -59,14 +58,28 @@ def follows_stream(stream: DataFrame, user: str = "user_id", at: str = "ts", kin
     return stream.groupBy(user).applyInPandasWithState(step, f"{user} long, a string, b string", "last string", "append", "NoTimeout")
 
 
-def counts_from_deltas(batches: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the reference state of operators.references up to date from a stream of deltas: every batch is summed into a new version."""
+def counts_from_deltas(batches: DataFrame, state_path: str, checkpoint: str, buckets: int | None = None) -> StreamingQuery:
+    """Keeps the reference state of operators.references up to date from a stream of deltas: every batch is summed into a new version.
+
+    State v<epoch> is complete once its _SUCCESS is there. A batch goes on from the newest complete version below its epoch, and from
+    nothing only if there is none; a version that is there and cannot be read fails the batch, so no state is lost silently. The
+    version before the one gone on from is deleted, so two stand at any time. buckets: parts of the state, by key.
+    """
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        try:
-            old = spark.read.parquet(f"{state_path}/v{epoch - 1}")
-        except Exception:  # noqa: BLE001 - the first batch
-            old = None
-        (key_state(df) if old is None else key_state(old, df)).write.mode("overwrite").parquet(f"{state_path}/v{epoch}")
+        names = names_in(spark, state_path) if exists(spark, state_path) else []
+        complete = sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and int(n[1:]) < epoch and written(spark, f"{state_path}/{n}"))
+        if epoch > 0 and not complete:
+            raise FileNotFoundError(f"batch {epoch} finds no complete state in {state_path}")
+        old = [spark.read.parquet(f"{state_path}/v{complete[-1]}")] if complete else []
+        state = key_state(*old, df)
+        (state.repartition(buckets, "target", "key") if buckets else state).write.mode("overwrite").parquet(f"{state_path}/v{epoch}")
+        for v in complete[:-1]:
+            remove(spark, f"{state_path}/v{v}")
 
     return batches.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to the folder has ended: its _SUCCESS is there."""
+    return exists(spark, f"{folder}/_SUCCESS")

@@ -132,3 +132,57 @@ def test_reference_state_from_a_stream(spark, tmp_path):
     Q.counts_from_deltas(Q.parquet_stream(spark, str(tmp_path / "in"), deltas[0]), str(tmp_path / "state"), str(tmp_path / "log")).awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "state/v2")).collect()}
     assert got == {tuple(r) for r in R.key_state(*deltas).collect()} and R.current_orphans(spark.read.parquet(str(tmp_path / "state/v2"))).count() == 2
+
+
+def test_tokens_that_only_begin_or_end_with_a_mark_are_words(spark):
+    df = spark.createDataFrame([(["the", ".NET", "self", "-", "made", "a/", "b"],), ([],), (None,), (["x", None, "."],), ([")"],)], "t array<string>")
+    assert [r[0] for r in df.select(X.joined_tokens(F.col("t"))).collect()] == ["the .NET self-made a/ b", "", None, "x.", ")"]
+
+
+def test_parts_of_a_list_lose_their_blanks(spark):
+    assert one(spark, lambda c: X.options(c, "|"), " 0a | b0 ||  ") == ["0a", "b0"]
+
+
+def test_tables_of_each_width(spark):
+    table = lambda n: "\n".join("| " + " | ".join(f"{r}{k}" for k in range(n)) + " |" for r in "hab")
+    assert one(spark, X.tables_as_lists, f"x\n{table(2)}\ny\n") == "x\n- h0: a0 — a1\n- h0: b0 — b1\ny\n" and one(spark, X.tables_as_lists, table(3)) == "- a0: a1 — a2\n- b0: b1 — b2"
+    assert one(spark, X.tables_as_lists, f"x\n{table(4)}\ny") == "x\ny" and one(spark, X.tables_as_lists, "| a | b |\n|---|---|\n| 1 |\nend") == "- 1\nend" and one(spark, X.tables_as_lists, "a | b\nc") == "a | b\nc"
+    assert one(spark, X.tables_as_lists, "| a | b |\n" + "| 1 | 2 |\n" * 30_000).count("\n") == 30_000
+
+
+def test_state_is_never_started_anew_by_a_failed_read(spark, tmp_path):
+    """A version that is there but cannot be read, or is not whole, fails the batch; older versions are cleared away."""
+    import shutil
+
+    from procmill.operators import references as R
+
+    have = spark.createDataFrame([("a",), ("b",)], "id string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    delta = R.existence_deltas(have, "t", "id", "at")
+    where = {k: str(tmp_path / k) for k in ("in", "state", "log")}
+    run = lambda: (delta.coalesce(1).write.mode("append").parquet(where["in"]), Q.counts_from_deltas(Q.parquet_stream(spark, where["in"], delta), where["state"], where["log"], buckets=2).awaitTermination())
+    run(), run(), run()
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v1", "v2"] and {r.exists_n for r in spark.read.parquet(where["state"] + "/v2").collect()} == {3}
+    for f in (tmp_path / "state/v2").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "state/v2").glob(".*.crc"):
+        f.unlink()
+    with pytest.raises(Exception):
+        run()
+    shutil.rmtree(tmp_path / "state")
+    with pytest.raises(Exception, match="no complete state"):
+        Q.counts_from_deltas(Q.parquet_stream(spark, where["in"], delta), where["state"], where["log"]).awaitTermination()
+
+
+def test_finished_work_is_not_done_again_after_a_failed_read(spark, tmp_path):
+    work = spark.createDataFrame([(1,), (2,)], "id long")
+    where = {k: str(tmp_path / k) for k in ("in", "out")}
+    work.coalesce(1).write.parquet(where["in"])
+    go = lambda log: Q.run_queue(Q.parquet_stream(spark, where["in"], work), where["out"], ["id"], lambda df: df, str(tmp_path / log)).awaitTermination()
+    go("a"), go("b")
+    assert spark.read.parquet(where["out"]).count() == 2
+    for f in (tmp_path / "out").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "out").glob(".*.crc"):
+        f.unlink()
+    with pytest.raises(Exception):
+        go("c")
