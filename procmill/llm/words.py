@@ -121,3 +121,23 @@ def shingles(ws: list[str], k: int) -> np.ndarray:
         h *= _P
         h += mix(a[j : j + n] + np.uint64(j))
     return np.unique(mix(h))
+
+
+_ODD = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_ODD, -1, 1 << 64)
+
+
+class Runs:
+    """Hashes of all runs of k consecutive words for any k, from the words' hashes: a polynomial of the words, by running sums."""
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        ones = np.ones(n, np.uint64)
+        up = np.multiply.accumulate(ones * np.uint64(_ODD)) if n else ones
+        self.down = np.multiply.accumulate(ones * np.uint64(_BACK)) if n else ones
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(hashes) * up)])
+
+    def of(self, k: int) -> np.ndarray:
+        """One hash for each place at which a run of k words begins, in order."""
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)

@@ -60,3 +60,40 @@ def test_runs_over_the_borders_of_pieces(spark):
     r = leakage.leaked_passages(*sides(spark, train, [("h", " ".join(long))]))
     assert got(r) == {("a", "h", 310, 1, 49_990), ("a", "h", 30, 312, 50_010), ("b", "h", 65_000, 0, 40_000), ("c", "h", 34, 0, 49_985), ("d", "h", 20, 0, 50_000)}
     assert {x.train_id: (x.start, x.stop) for x in r.collect()}["b"] == (0, len(train[1][1]))
+
+
+def test_a_full_filter_loses_nothing(spark):
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    train, evaluation = [(f"t{k}", make(60)) for k in range(20)], [(f"h{k}", make(60)) for k in range(20)]
+    want = {(i, h) for i, t in train for h, e in evaluation if runs(words(t), words(e), 5)}
+    got_pairs = leakage._hits(*sides(spark, train, evaluation), 5, 1000, False, most_bits=512).select("id", "eval_id").distinct()
+    assert {tuple(r) for r in got_pairs.collect()} == want and want
+
+
+def test_a_phrase_that_many_evaluation_texts_share_costs_one_look():
+    phrase = [f"p{i}" for i in range(16)]
+    pieces = [(str(k).encode(), " ".join([f"a{k}", *phrase, f"b{k}"] + [f"x{k}{i}" for i in range(20)])) for k in range(2000)]
+    a = leakage.Automaton(pieces, 20)
+    assert a.scan(phrase * 3 + ["end"]) == [] and a.scan([*phrase, "b7", *[f"x7{i}" for i in range(20)]]) == [(b"7", 0, 1, 37)]
+    assert max(len(v) for v in a.machine.values() for v in (v.values() if isinstance(v, dict) else [v])) <= 2
+
+
+def test_filters_miss_no_member(spark):
+    import numpy as np
+
+    from procmill.llm.filters import filter_of
+    from procmill.llm.words import mix
+
+    members, others = mix(np.arange(5000, dtype=np.uint64)), mix(np.arange(10**6, 10**6 + 20_000, dtype=np.uint64))
+    f = filter_of(spark.createDataFrame([(int(x),) for x in members.view(np.int64)], "h long"), 5000)
+    assert f.might(members).all() and f.might(others).mean() < 0.01 and not filter_of(spark.createDataFrame([], "h long"), 0).might(others).any()
+
+
+def test_runs_have_one_hash_wherever_they_stand():
+    import numpy as np
+
+    from procmill.llm.words import Runs, hash_words
+
+    a, b = hash_words(W[:50]), hash_words(["x", "y", *W[10:40]])
+    assert set(Runs(a).of(7)[10:34].tolist()) <= set(Runs(b).of(7).tolist()) and len(Runs(a).of(51)) == 0 and len(np.unique(Runs(a).of(3))) == 48
