@@ -53,6 +53,22 @@ def found(samples: DataFrame) -> DataFrame:
 
 
 def report(samples: DataFrame) -> DataFrame:
-    """Per evaluation split and source: overlapping evaluation records, training records they meet, and exact ones among them."""
-    p = cross_split_pairs(samples)
-    return p.groupBy("eval_split", "eval_source").agg(F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"), F.countDistinct(F.when(F.col("similarity") == 1, F.col("eval_id"))).alias("n_exact"))
+    """Per evaluation split and source: overlapping evaluation records, training records they meet, and exact ones among them.
+
+    Counted from classes: of each class's ids the least and the greatest say whether there is one besides a record's own, so pairs of
+    records are never made.
+    """
+    sets = split_sets(samples)
+    found = materialize(overlapping_classes(sets), "overlaps")
+    m = sets.members
+    e = m.where("side").select(F.col("cls").alias("a"), "id", F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    t = m.where("not side").select(F.col("cls").alias("b"), "id")
+    ends = lambda p="": [F.min(f"{p}lo").alias(f"{p}lo"), F.max(f"{p}hi").alias(f"{p}hi")]
+    other = lambda p="": (F.col(f"{p}lo") != F.col(f"{p}hi")) | (F.col("id") != F.col(f"{p}lo"))
+    same = F.col("similarity") == 1
+    per_a = found.join(t.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "b").select("a", "lo", "hi", F.when(same, F.col("lo")).alias("xlo"), F.when(same, F.col("hi")).alias("xhi")).groupBy("a").agg(*ends(), *ends("x"))
+    evals = e.join(per_a, "a").groupBy("eval_split", "eval_source").agg(F.countDistinct(F.when(other(), F.col("id"))).alias("n_eval"), F.countDistinct(F.when(other("x"), F.col("id"))).alias("n_exact"))
+    per_b = found.join(e.groupBy("a", "eval_split", "eval_source").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "a").groupBy("b", "eval_split", "eval_source").agg(*ends())
+    trains = per_b.join(t, "b").where(other()).groupBy("eval_split", "eval_source").agg(F.countDistinct("id").alias("n_train"))
+    x, y = evals.where("n_eval > 0").alias("x"), trains.alias("y")
+    return x.join(y, F.expr("x.eval_split <=> y.eval_split and x.eval_source <=> y.eval_source")).select("x.eval_split", "x.eval_source", "n_eval", "n_train", "n_exact")

@@ -64,7 +64,7 @@ def filter_of(hashes: DataFrame, expected: int, most_bits: int = MOST_BITS) -> F
     """The filter of a table of hashes (h bigint), sized for `expected` of them, most_bits at most."""
     want = min(max(expected * BITS_EACH, 1 << 16), most_bits)
     size = max(1 << ((want - 1).bit_length() - _CHUNK_BITS), 8)
-    parts = hashes.repartition(1 << _CHUNK_BITS, F.shiftrightunsigned("h", 64 - _CHUNK_BITS)).mapInArrow(_build(size), "chunk int, bits binary").collect()
+    parts = hashes.repartition(F.shiftrightunsigned("h", 64 - _CHUNK_BITS)).mapInArrow(_build(size), "chunk int, bits binary").collect()
     out = np.zeros((1 << _CHUNK_BITS, size // 8), np.uint8)
     for r in parts:
         out[r["chunk"]] |= np.frombuffer(r["bits"], np.uint8)

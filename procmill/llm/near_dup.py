@@ -22,7 +22,9 @@ from procmill.session import materialize
 #: Places of the permutations, and bands times rows of the signature. At similarity 0.6 a pair shares none of 96 bands
 #: of 4 rows with probability 2e-6; at 0.1, far above that of unrelated texts, it shares one with probability 0.01.
 PLACES, BANDS, ROWS = 1 << 18, 96, 4
-#: Members of a bucket up to which its pairs are candidates; larger buckets go through the exact prefix join instead.
+#: Distance up to which a class is a near copy of its leader.
+NEAR = 0.1
+#: Leaders of a bucket up to which their pairs are candidates; larger buckets go through the exact prefix join instead.
 BUCKET = 32
 
 
@@ -65,77 +67,59 @@ def _bands(bands: int, width: int, seed: int):
     return run
 
 
-def _pairs(most: int):
-    """Over rows sorted by bucket: pairs of each bucket of at most `most` classes, or every class of a larger one with a null partner."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, members, large = None, [], False
-        known: set[tuple[bytes, bytes]] = set()
-
-        def close(a: list, b: list) -> None:
-            if large:
-                return
-            got = sorted(set(members))
-            for i, x in enumerate(got):
-                for y in got[i + 1 :]:
-                    if (x, y) not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known.add((x, y))
-                        a.append(x)
-                        b.append(y)
-
-        def batch(a: list, b: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        for rows in batches:
-            a, b = [], []
-            keys = rows["bucket"].to_numpy()
-            same = np.zeros(len(keys), bool)  # rows with a neighbour in the same bucket
-            if len(keys):
-                eq = keys[1:] == keys[:-1]
-                same[1:] |= eq
-                same[:-1] |= eq
-                same[0] = same[-1] = True
-            at = np.flatnonzero(same)
-            cls = rows["cls"].take(pa.array(at)).to_pylist()
-            for k, c in zip(keys[at].tolist(), cls):
-                if k != bucket:
-                    close(a, b)
-                    bucket, members, large = k, [], False
-                if large:
-                    a.append(c)
-                    b.append(None)
-                elif not members or members[-1] != c:
-                    members.append(c)
-                    if len(members) > most:
-                        members = sorted(set(members))
-                        if len(members) > most:
-                            a += members
-                            b += [None] * len(members)
-                            members, large = [], True
-            yield batch(a, b)
-        a, b = [], []
-        close(a, b)
-        yield batch(a, b)
-
-    return run
+def _clusters(seen: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, root, leader, far): of every class that has met another like it, its component, and the least class within NEAR of it
+    that heads one of its buckets, with the distance; a class without one leads itself."""
+    near = seen.where(F.col("similarity") >= 1 - NEAR).groupBy(F.col("b").alias("cls")).agg(F.min(F.struct("a", "similarity")).alias("_n"))
+    return roots.join(near, "cls", "left").select("cls", "root", F.coalesce("_n.a", "cls").alias("leader"), F.coalesce(1 - F.col("_n.similarity"), F.lit(0.0)).alias("far"))
 
 
-def similar_classes(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, most: int = BUCKET, seed: int = 1) -> DataFrame:
-    """(a, b, similarity) with a < b: verified links between classes with different sets.
+def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, most: int = BUCKET, seed: int = 1) -> DataFrame:
+    """(cls, root): the components of all links between classes that share a bucket, for every class with a link.
 
-    A bucket of more than `most` classes gives no pairs; its classes go through the exact prefix join among themselves, which finds
-    every link of such a bucket.
+    No bucket gives all its pairs. First every class is compared with the least class of each of its buckets (stars); verified links
+    form components. Only classes of a bucket that are in different components can add anything, and of those only the leaders of
+    near copies are compared. Two classes x, y of one bucket with similarity `least` or more have leaders P, Q with a distance of at most
+    1 - least + 2 NEAR (Jaccard distance is a metric), so leaders are compared down to that; where they are linked, all is said; where
+    they are not, classes behind them are compared as far as the triangle inequality leaves a chance. So the components are those of
+    all pairs, and n near copies cost n comparisons. A bucket with more than `most` leaders in different components gives no pairs of
+    its own: its leaders go through the exact prefix join.
     """
-    made = sets.rows.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), "bucket bigint, cls binary")
-    met = materialize(made.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_pairs(most), "a binary, b binary").distinct(), "met")
-    pairs = met.where("b is not null")
-    crowded = met.where("b is null").select(F.col("a").alias("cls"))
+    low = least - 2 * NEAR
+    made = materialize(sets.rows.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), "bucket bigint, cls binary"), "bands")
+    heads = made.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("_last")).where("head < _last").select("bucket", "head")
+    met = materialize(made.join(heads, "bucket"), "met")
+    stars = materialize(met.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    seen = materialize(jaccard_pairs(stars, sets, low), "verified")
+    over = F.col("similarity") >= least - 1e-12
+    roots = materialize(components(seen.where(over).select("a", "b")), "roots")
+    who = materialize(_clusters(seen, roots), "clusters")
+
+    lead = met.select("bucket", "cls").join(who, "cls", "left").select("bucket", F.coalesce("leader", "cls").alias("leader"), F.coalesce("root", "cls").alias("root")).distinct()
+    open_ = lead.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket", "n")
+    lead = materialize(lead.join(open_, "bucket"), "leaders")
+    few = lead.where(F.col("n") <= most)
+    side = lambda x: few.select("bucket", F.col("leader").alias(x), F.col("root").alias(f"r{x}"))
+    pairs = side("a").join(side("b"), "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
+    crowded = lead.where(F.col("n") > most).select(F.col("leader").alias("cls"), "root").distinct()
     if not crowded.isEmpty():
         part = materialize(sets.of(crowded), "crowded")
-        first = materialize(prefixes(part, least, rarity(part)), "crowded-prefixes")
-        pairs = pairs.union(candidates(first, first, least, once=True)).distinct()
-    return jaccard_pairs(materialize(pairs, "pairs"), sets, least)
+        first = materialize(prefixes(part, low, rarity(part)), "crowded-prefixes")
+        end = lambda x: crowded.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}"))
+        pairs = pairs.union(candidates(first, first, low, once=True).join(end("a"), "a").join(end("b"), "b").where("ra <> rb").select("a", "b")).distinct()
+    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(jaccard_pairs(pairs, sets, low), "verified")
+
+    # classes behind leaders that are not linked, but not far from it
+    inside = who.select("cls", "leader", "far").union(who.where("cls <> leader").select(F.col("leader").alias("cls"), "leader", F.lit(0.0))).distinct()
+    of = lambda x: inside.select(F.col("leader").alias(x), F.col("cls").alias(f"c{x}"), F.col("far").alias(f"f{x}"))
+    root = lambda x: who.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}"))
+    border = seen.union(more).where(~over).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    border = border.select("a", "b", "similarity").join(of("a"), "a", "left").join(of("b"), "b", "left").select("similarity", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"), F.coalesce("fa", F.lit(0.0)).alias("fx"), F.coalesce("fb", F.lit(0.0)).alias("fy"))
+    border = border.where((F.col("fx") + F.col("fy") > 0) & (F.col("fx") + F.col("fy") >= least - F.col("similarity") - 1e-9)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+    behind = jaccard_pairs(materialize(border, "border"), sets, least)
+    added = materialize(more.where(over).select("a", "b").union(behind.select("a", "b")), "added")
+    return roots if added.isEmpty() else components(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(added))
 
 
 def sample_sets(samples: DataFrame, k: int = 3, least_words: int = 20) -> Sets:
@@ -149,8 +133,7 @@ def groups(samples: DataFrame, least: float = 0.6) -> DataFrame:
     Null and blank texts and those of fewer than 20 words are in no group. Repeated rows count once. An empty table gives no rows.
     """
     sets = sample_sets(samples)
-    links = materialize(similar_classes(sets, least).select("a", "b"), "links")
-    roots = components(links)
+    roots = linked(sets, least)
     m = materialize(sets.members, "members")
     return m.join(roots, "cls", "left").select("id", F.coalesce("root", "cls").alias("root")).distinct()
 

@@ -1,5 +1,6 @@
 """Problems 1, 5 and 6 against brute force on small tables with every odd case, and on the sample data."""
 
+import random
 from collections import defaultdict
 
 import pyarrow.parquet as pq
@@ -131,13 +132,38 @@ def test_spans_have_the_same_words(s):
     assert [w for w, _, _ in word_spans(s)] == words(s)
 
 
+def near_copies(n):
+    return [(f"d{i:03}", "sft", " ".join(f"{w}" if k != i % 97 else f"edit{i}" for k, w in enumerate(W[:120]))) for i in range(n)] + [("far", "sft", text(200, 300))]
+
+
 def test_crowded_buckets_take_the_exact_way(spark):
-    rows = [(f"d{i:03}", "sft", " ".join(f"{w}" if k != i % 97 else f"edit{i}" for k, w in enumerate(W[:120]))) for i in range(60)] + [("far", "sft", text(200, 300))]
+    rng = random.Random(3)
+    chain = [(f"c{i:02}", "sft", " ".join(W[4 * i : 4 * i + 60])) for i in range(40)]  # each like its neighbours only
+    mixed = [(f"m{i:02}", "sft", " ".join([*W[300:340], *[f"z{rng.randrange(25)}" for _ in range(14)]])) for i in range(40)]  # one long common part, all ways apart
+    rows = near_copies(60) + chain + mixed
     df = frame(spark, rows)
     sets = near_dup.sample_sets(df)
-    one, all_of = ({tuple(r) for r in near_dup.similar_classes(sets, most=m).select("a", "b").collect()} for m in (3, 1000))
-    assert one == all_of and len(one) > 1000
-    assert len(pairs(near_dup.found(df))) == 60 * 59 // 2
+    few, many = ({tuple(r) for r in near_dup.linked(sets, most=m).collect()} for m in (1, 1000))
+    assert few == many
+    assert pairs(near_dup.found(df)) == brute([(i, s, None if k % 2 else "Title", t) for k, (i, s, t) in enumerate(rows)])[2]
+
+
+def test_near_copies_cost_as_many_comparisons_as_there_are(spark, monkeypatch):
+    counted = []
+    plain = near_dup.jaccard_pairs
+    monkeypatch.setattr(near_dup, "jaccard_pairs", lambda p, *a: counted.append(p.count()) or plain(p, *a))
+    for n in (100, 200):
+        counted.clear()
+        assert len(pairs(near_dup.found(frame(spark, near_copies(n))))) == n * (n - 1) // 2
+        assert sum(counted) <= 6 * n, counted
+
+
+def test_report_counts_what_the_pairs_do(spark):
+    rows = [(i, s, t) for i, s, t in ODD if i] + [(f"k{j}", "sft" if j % 2 else "validation", text(0, 60)) for j in range(8)] + [("k1", "holdout", text(0, 60)), ("only", "sft", text(140, 190)), ("only", "holdout", text(140, 190))]
+    df = frame(spark, rows)
+    p = cross_split.cross_split_pairs(df).collect()
+    want = {(s, len({r.eval_id for r in p if r.eval_split == s}), len({r.train_id for r in p if r.eval_split == s}), len({r.eval_id for r in p if r.eval_split == s and r.similarity == 1})) for s in {r.eval_split for r in p}}
+    assert {(r.eval_split, r.n_eval, r.n_train, r.n_exact) for r in cross_split.report(df).collect()} == want and want
 
 
 def test_signature_estimates_similarity():
