@@ -26,6 +26,8 @@ PLACES, BANDS, ROWS = 1 << 18, 96, 4
 NEAR = 0.1
 #: Leaders of a bucket up to which their pairs are candidates; larger buckets go through the exact prefix join instead.
 BUCKET = 32
+#: Rows of a bucket that one task sorts, at least; and the sketch that finds larger ones: 8 MB.
+HOT, SKETCH_BITS = 200_000, 20
 
 
 def _permutation(seed: int) -> np.ndarray:
@@ -67,6 +69,71 @@ def _bands(bands: int, width: int, seed: int):
     return run
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for b in batches:
+        total += np.bincount(_counter(b), minlength=1 << SKETCH_BITS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+
+def _counter(b: pa.RecordBatch) -> np.ndarray:
+    return (b["bucket"].to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _marked(shared, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["bucket"], b["cls"], pa.array(shared.value[_counter(b)] > limit)], ["bucket", "cls", "hot"])
+
+    return run
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and class to (bucket, cls, head), head the first class, once each, of buckets with two classes or more."""
+    bucket = head = last = None
+    for b in batches:
+        keys = b["bucket"].to_numpy()
+        near = np.zeros(len(keys), bool)  # rows with a neighbour in the same bucket; at the ends of a batch any may have one
+        if len(keys):
+            eq = keys[1:] == keys[:-1]
+            near[1:] |= eq
+            near[:-1] |= eq
+            near[0] = near[-1] = True
+        at = np.flatnonzero(near)
+        out: list[tuple] = []
+        for k, c in zip(keys[at].tolist(), b["cls"].take(pa.array(at)).to_pylist()):
+            if k != bucket:
+                bucket, head, last = k, c, c
+            elif c != last:
+                if last == head:
+                    out.append((k, head, head))
+                out.append((k, c, head))
+                last = c
+        cols = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "cls", "head"])
+
+
+def buckets_met(made: DataFrame) -> DataFrame:
+    """(bucket, cls, head), distinct: the classes of every bucket of at least two, with the least of them.
+
+    One shuffle of the bands. A bucket that is too large for one task (a sketch of fixed size over all bands tells) is not sorted: its
+    head is an aggregate that combines before the shuffle, and its rows meet the head in a join.
+    """
+    spark = made.sparkSession
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in made.select("bucket").mapInArrow(_tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toLocalIterator():  # 2 ** SKETCH_BITS rows at most
+        counts[r["at"]] = r["n"]
+    limit = max(HOT, 4 * int(counts.mean()))
+    if not (counts > limit).any():
+        return made.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, "bucket bigint, cls binary, head binary")
+    marked = made.mapInArrow(_marked(spark.sparkContext.broadcast(counts), limit), "bucket bigint, cls binary, hot boolean")
+    cold = marked.where("not hot").select("bucket", "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, "bucket bigint, cls binary, head binary")
+    hot = materialize(marked.where("hot").select("bucket", "cls").distinct(), "hot")
+    heads = hot.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("_last")).where("head < _last").select("bucket", "head")
+    return cold.union(hot.join(heads, "bucket").select("bucket", "cls", "head"))
+
+
 def _clusters(seen: DataFrame, roots: DataFrame) -> DataFrame:
     """(cls, root, leader, far): of every class that has met another like it, its component, and the least class within NEAR of it
     that heads one of its buckets, with the distance; a class without one leads itself."""
@@ -87,8 +154,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     """
     low = least - 2 * NEAR
     made = materialize(sets.rows.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), "bucket bigint, cls binary"), "bands")
-    heads = made.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("_last")).where("head < _last").select("bucket", "head")
-    met = materialize(made.join(heads, "bucket"), "met")
+    met = materialize(buckets_met(made), "met")
     stars = materialize(met.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     seen = materialize(jaccard_pairs(stars, sets, low), "verified")
     over = F.col("similarity") >= least - 1e-12
@@ -119,7 +185,13 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     border = border.where((F.col("fx") + F.col("fy") > 0) & (F.col("fx") + F.col("fy") >= least - F.col("similarity") - 1e-9)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
     behind = jaccard_pairs(materialize(border, "border"), sets, least)
     added = materialize(more.where(over).select("a", "b").union(behind.select("a", "b")), "added")
-    return roots if added.isEmpty() else components(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).union(added))
+    if added.isEmpty():
+        return roots
+    # only components that an added link touches are joined; the others stay as they are
+    ends = added.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over_roots = components(materialize(ends, "ends")).select(F.col("cls").alias("root"), F.col("root").alias("_to"))
+    new = added.select(F.explode(F.array("a", "b")).alias("cls")).join(roots, "cls", "left_anti").distinct().select("cls", F.col("cls").alias("root"))
+    return roots.union(new).join(over_roots, "root", "left").select("cls", F.coalesce("_to", "root").alias("root"))
 
 
 def sample_sets(samples: DataFrame, k: int = 3, least_words: int = 20) -> Sets:

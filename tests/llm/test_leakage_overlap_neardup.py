@@ -148,6 +148,16 @@ def test_crowded_buckets_take_the_exact_way(spark):
     assert pairs(near_dup.found(df)) == brute([(i, s, None if k % 2 else "Title", t) for k, (i, s, t) in enumerate(rows)])[2]
 
 
+def test_hot_buckets_give_the_same(spark, monkeypatch):
+    df = frame(spark, near_copies(60))
+    sets = near_dup.sample_sets(df)
+    made = near_dup.materialize(sets.rows.select("cls", "shingles").mapInArrow(near_dup._bands(96, 4, 1), "bucket bigint, cls binary"), "b")
+    want = {tuple(r) for r in near_dup.buckets_met(made).collect()}
+    monkeypatch.setattr(near_dup, "HOT", 20)
+    got = [tuple(r) for r in near_dup.buckets_met(made).collect()]
+    assert set(got) == want and len(got) == len(want) and {h for _, c, h in got if c == h} == {h for *_, h in got}
+
+
 def test_near_copies_cost_as_many_comparisons_as_there_are(spark, monkeypatch):
     counted = []
     plain = near_dup.jaccard_pairs
