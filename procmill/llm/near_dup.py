@@ -19,9 +19,10 @@ from procmill.llm.sets import Sets, jaccard_pairs, shingle_sets
 from procmill.llm.words import mix
 from procmill.session import materialize
 
-#: Places of the permutations, and bands times rows of the signature. At similarity 0.6 a pair shares none of 96 bands
-#: of 4 rows with probability 2e-6; at 0.1, far above that of unrelated texts, it shares one with probability 0.01.
-PLACES, BANDS, ROWS = 1 << 18, 96, 4
+#: Places of the permutations, bands times rows of the signature, and the bands that a pair has to share to be compared.
+#: At similarity 0.6 a pair shares fewer than two of 96 bands of 4 rows with probability 2.5e-5; at 0.1, far above that of unrelated
+#: texts, it shares one with probability 0.01 and two with probability 5e-5.
+PLACES, BANDS, ROWS, SHARED = 1 << 18, 96, 4, 2
 #: Distance up to which a class is a near copy of its leader.
 NEAR = 0.1
 #: Leaders of a bucket up to which their pairs are candidates; larger buckets go through the exact prefix join instead.
@@ -141,12 +142,12 @@ def _clusters(seen: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(near, "cls", "left").select("cls", "root", F.coalesce("_n.a", "cls").alias("leader"), F.coalesce(1 - F.col("_n.similarity"), F.lit(0.0)).alias("far"))
 
 
-def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, most: int = BUCKET, seed: int = 1) -> DataFrame:
-    """(cls, root): the components of all links between classes that share a bucket, for every class with a link.
+def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, most: int = BUCKET, seed: int = 1, shared: int = SHARED) -> DataFrame:
+    """(cls, root): the components of all links between classes that share at least `shared` buckets, for every class with a link.
 
     No bucket gives all its pairs. First every class is compared with the least class of each of its buckets (stars); verified links
     form components. Only classes of a bucket that are in different components can add anything, and of those only the leaders of
-    near copies are compared. Two classes x, y of one bucket with similarity `least` or more have leaders P, Q with a distance of at most
+    near copies are compared. Two classes x, y of the same buckets with similarity `least` or more have leaders P, Q with a distance of at most
     1 - least + 2 NEAR (Jaccard distance is a metric), so leaders are compared down to that; where they are linked, all is said; where
     they are not, classes behind them are compared as far as the triangle inequality leaves a chance. So the components are those of
     all pairs, and n near copies cost n comparisons. A bucket with more than `most` leaders in different components gives no pairs of
@@ -155,7 +156,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     low = least - 2 * NEAR
     made = materialize(sets.rows.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), "bucket bigint, cls binary"), "bands")
     met = materialize(buckets_met(made), "met")
-    stars = materialize(met.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    stars = materialize(met.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "stars")
     seen = materialize(jaccard_pairs(stars, sets, low), "verified")
     over = F.col("similarity") >= least - 1e-12
     roots = materialize(components(seen.where(over).select("a", "b")), "roots")
@@ -166,7 +167,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     lead = materialize(lead.join(open_, "bucket"), "leaders")
     few = lead.where(F.col("n") <= most)
     side = lambda x: few.select("bucket", F.col("leader").alias(x), F.col("root").alias(f"r{x}"))
-    pairs = side("a").join(side("b"), "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
+    pairs = side("a").join(side("b"), "bucket").where("a < b and ra <> rb").groupBy("a", "b").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b")
     crowded = lead.where(F.col("n") > most).select(F.col("leader").alias("cls"), "root").distinct()
     if not crowded.isEmpty():
         part = materialize(sets.of(crowded), "crowded")
