@@ -1,9 +1,10 @@
 """Text quality statistics, outlier scores from exact per-language ranks, and the kind of each text (problem 9).
 
-Per document: the statistics of STATISTICS and some shape features. Ranks are exact: values are counted, range-partitioned by
-(language, statistic, value), sorted and summed within each part, and shifted by the offsets of the parts before. Tail
-probabilities of all statistics add up to an outlier score (ECOD, Li et al. 2022). The kind comes from boosted trees over scores,
-tails and features, fitted on the hand labels at hand; without usable labels, from the shares of line shapes alone.
+Per document: the statistics of RANKED. Ranks are exact: rows (language, statistic, value, document) are range-partitioned and sorted,
+counted within each part, and shifted by the offsets of the parts before; a value that many documents share is spread over as many
+parts as it needs, and its counts in them are put together. Tail probabilities within the language add up to outlier scores (ECOD, Li
+et al. 2022). The kind comes from boosted trees that see the tails and scores and nothing else, fitted on the hand labels at hand;
+without usable labels, from the shares of line shapes.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ SHAPES = (
     "digit_ratio", "upper_ratio", "space_ratio", "vowel_ratio", "other_ratio", "bracket_ratio", "separator_ratio", "distinct_lines", "distinct_words", "distinct_sentences", "compressed", "longest_word", "line_spread", "menu_ratio",
 )
 FEATURES = STATISTICS + SHAPES
+#: The statistics that are ranked and decide.
+RANKED = STATISTICS + (
+    "words_per_line", "short_lines", "list_share", "label_share", "table_share", "code_share", "log_share", "rule_share", "prose_share",
+    "vowel_ratio", "other_ratio", "distinct_lines", "distinct_sentences", "distinct_words", "compressed", "menu_ratio", "n_lines",
+)
 #: Labelled documents that the trees are fitted on, at most; those with the least hash of their id if there are more.
 MOST_LABELS = 20_000
 
@@ -133,14 +139,18 @@ def _features(shared):
         every = frozenset().union(*lists.values())
         for b in batches:
             rows = [statistics(t, lists.get(g, every)) for g, t in zip(b["lang"].to_pylist(), b["text"].to_pylist())]
-            x = np.array(rows, np.float64).reshape(len(rows), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], *[pa.array(x[:, i]) for i in range(len(FEATURES))]], ["doc_id", "lang", *FEATURES])
+            x = np.array(rows, np.float64).reshape(len(rows), len(FEATURES))[:, _AT]
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(_AT), pa.int32()), pa.array(x.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], values], ["doc_id", "lang", "x"])
 
     return run
 
 
+_AT = [FEATURES.index(f) for f in RANKED]
+
+
 def features(documents: DataFrame, common_words: DataFrame, most_words: int = 100_000) -> DataFrame:
-    """(doc_id, lang, *FEATURES), lang without region. common_words: (lang, word), a parameter table of at most most_words rows."""
+    """(doc_id, lang, x: values of RANKED), lang without region. common_words: (lang, word), a parameter table of at most most_words rows."""
     spark = documents.sparkSession
     ship(spark)
     rows = common_words.where("word is not null").select(language().alias("lang"), F.lower("word").alias("word")).distinct().limit(most_words + 1).collect()
@@ -150,119 +160,178 @@ def features(documents: DataFrame, common_words: DataFrame, most_words: int = 10
     for r in rows:
         lists.setdefault(r["lang"], set()).add(r["word"])
     shared = spark.sparkContext.broadcast({k: frozenset(v) for k, v in lists.items()})
-    kinds = ", ".join(f"{f} double" for f in FEATURES)
-    return spread(documents.where("doc_id is not null").select("doc_id", language().alias("lang"), "text")).mapInArrow(_features(shared), f"doc_id bigint, lang string, {kinds}")
+    return spread(documents.where("doc_id is not null").select("doc_id", language().alias("lang"), "text")).mapInArrow(_features(shared), "doc_id bigint, lang string, x array<double>")
 
 
 # ---- exact ranks and outlier scores ----
 
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted (lang, stat, value, n): running sums of n within (lang, stat), and the part's number."""
-    part, last, total = TaskContext.get().partitionId(), None, 0
+_LOCAL = "lang string, stat int, value double, doc_id bigint, part int, upto bigint, n bigint, edge boolean"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over one part's rows sorted by (lang, stat, value): of each row the rows of its (lang, stat) up to its value, those with its
+    value, both in this part, and whether its value is the first or last of the part (and so may go on in another)."""
+    part, first = TaskContext.get().partitionId(), True
+    held: list[pa.RecordBatch] = []  # rows of the value that is not yet ended
+    key, before = None, 0
+
+    def rows(b: pa.RecordBatch, keep_last: bool):
+        nonlocal key, before, first
+        lang, stat, value = b["lang"].to_numpy(zero_copy_only=False), b["stat"].to_numpy(), b["value"].to_numpy()
+        same_key = (lang[1:] == lang[:-1]) & (stat[1:] == stat[:-1])
+        same = same_key & ((value[1:] == value[:-1]) | np.isnan(value[1:]) & np.isnan(value[:-1]))
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        ends = np.append(starts[1:], len(value))
+        if keep_last:
+            held.append(b.slice(starts[-1]))
+            starts, ends = starts[:-1], ends[:-1]
+        if not len(starts):
+            return None
+        n, total = ends - starts, int(ends[-1])
+        new = np.concatenate([[key != (lang[0], stat[0])], ~same_key[starts[1:] - 1]])
+        run = np.cumsum(n) + before
+        base = np.maximum.accumulate(np.where(new, run - n, 0))  # what was counted before the key began
+        upto = run - np.where(np.logical_or.accumulate(new), base, 0)
+        edge = np.zeros(len(n), bool)
+        edge[0] = first
+        edge[-1] |= not keep_last
+        key, before, first = (lang[total - 1], stat[total - 1]), int(upto[-1]), False
+        of = lambda x, t: pa.array(np.repeat(x, n), t)
+        b = b.slice(0, total)
+        return pa.RecordBatch.from_arrays([b["lang"], b["stat"], b["value"], b["doc_id"], pa.array(np.full(total, part, np.int32)), of(upto, pa.int64()), of(n, pa.int64()), of(edge, pa.bool_())], [c.split()[0] for c in _LOCAL.split(", ")])
+
     for b in batches:
-        n = b["n"].to_numpy()
-        keys = list(zip(b["lang"].to_pylist(), b["stat"].to_pylist()))
-        out = np.empty(len(n), np.int64)
-        for i, k in enumerate(keys):
-            total = total + int(n[i]) if k == last else int(n[i])
-            last = k
-            out[i] = total
-        yield pa.RecordBatch.from_arrays([b["lang"], b["stat"], b["value"], b["n"], pa.array(out), pa.array(np.full(len(n), part, np.int32))], ["lang", "stat", "value", "n", "upto", "part"])
+        if b.num_rows:
+            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0] if held else b
+            held.clear()
+            if (out := rows(whole, True)) is not None:
+                yield out
+    if held:
+        yield rows(held[0], False)
 
 
 def ranks(long: DataFrame, parts: int | None = None) -> DataFrame:
-    """(lang, stat, value, n, upto, total): of each distinct value, its rows, the rows with at most that value, and all rows.
+    """(lang, stat, value, doc_id, n, upto, total): of each row the rows with its value, those with at most it, and all, within (lang, stat).
 
-    Exact at any size: counted first (so a value that a third of the rows share is one row), then range-partitioned. Offsets of
-    the parts are a table of at most parts + languages * statistics rows. NaN is the largest value.
+    Exact at any size, in one shuffle: rows are range-partitioned by (lang, stat, value, doc_id), so a value that a third of the rows
+    share is cut by doc_id. Offsets of the parts, and the counts of values at their edges, are tables of at most two rows a part and one
+    for each language and statistic. NaN is the largest value. Repeated rows count as often as they stand.
     """
     spark = long.sparkSession
-    counted = long.groupBy("lang", "stat", "value").agg(F.count("*").alias("n"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = "lang string, stat int, value double, n bigint, upto bigint, part int"
-    local = materialize(counted.repartitionByRange(parts, "lang", "stat", "value").sortWithinPartitions("lang", "stat", "value").mapInArrow(_running, kind), "ranks")
-    sums = local.groupBy("lang", "stat", "part").agg(F.max("upto").alias("s"))
+    by = ["lang", "stat", "value", "doc_id"]
+    local = materialize(long.select(*by).repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_counted, _LOCAL), "ranks")
     w = W.partitionBy("lang", "stat")
+    sums = local.groupBy("lang", "stat", "part").agg(F.max("upto").alias("s"))
     offsets = sums.select("lang", "stat", "part", (F.sum("s").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("s")).alias("before"), F.sum("s").over(w).alias("total"))
-    return local.join(offsets, ["lang", "stat", "part"]).select("lang", "stat", "value", "n", (F.col("upto") + F.col("before")).alias("upto"), "total")
+    v = W.partitionBy("lang", "stat", "value")
+    edges = local.where("edge").groupBy("lang", "stat", "value", "part").agg(F.max("n").alias("e"))
+    edges = edges.select("lang", "stat", "value", "part", F.sum("e").over(v).alias("all_n"), (F.sum("e").over(v.orderBy("part").rowsBetween(0, W.unboundedFollowing)) - F.col("e")).alias("later"), F.lit(True).alias("edge"))
+    out = local.join(offsets, ["lang", "stat", "part"]).join(edges, ["lang", "stat", "value", "part", "edge"], "left")
+    return out.select(*by, F.coalesce("all_n", "n").alias("n"), (F.col("upto") + F.col("before") + F.coalesce("later", F.lit(0))).alias("upto"), "total")
+
+
+def tails(feats: DataFrame) -> DataFrame:
+    """(doc_id, lang, stat, value, l, r, a): -log of the left and the right tail probability of each statistic within the language, and
+    that on the side of its skew."""
+    long = feats.select("doc_id", "lang", F.posexplode("x").alias("stat", "value"))
+    r = ranks(long)
+    left, right = -F.log(F.col("upto") / F.col("total")), -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
+    skew = feats.groupBy("lang").agg(F.array(*[F.coalesce(F.skewness(F.col("x")[i]), F.lit(0.0)) for i in range(len(RANKED))]).alias("skew"))
+    r = r.join(skew, "lang").select("doc_id", "lang", "stat", "value", left.alias("l"), right.alias("r"), (F.get("skew", F.col("stat")) < 0).alias("_s"))
+    return r.select("doc_id", "lang", "stat", "value", "l", "r", F.when(F.col("_s"), F.col("l")).otherwise(F.col("r")).alias("a"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of tails sorted by document, to (doc ids, langs, values, tails, scores) of whole documents; of a repeated document one stands."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(b: pa.RecordBatch) -> tuple:
+        ids = b["doc_id"].to_numpy()
+        docs, first, of = np.unique(ids, return_index=True, return_inverse=True)
+        stat = b["stat"].to_numpy()
+        put = np.zeros((4, len(docs), len(RANKED)))
+        for k, c in enumerate(("value", "l", "r", "a")):
+            put[k][of, stat] = b[c].to_numpy()
+        value, l, r, a = put
+        named = slice(0, len(STATISTICS))
+        sums = [np.maximum.reduce([x[:, cols].sum(axis=1) for x in (l, r, a)]) for cols in (named, slice(None))]
+        return docs, b["lang"].take(pa.array(first)), value, np.concatenate([l, r, np.stack(sums, axis=1)], axis=1), sums[0]
 
+    for b in batches:
+        if b.num_rows:
+            whole = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            ids = whole["doc_id"].to_numpy()
+            at = int(np.searchsorted(ids, ids[-1]))
+            held = [whole.slice(at)]
+            if at:
+                yield cut(whole.slice(0, at))
+    if held:
+        yield cut(held[0])
 
-def outlier_scores(feats: DataFrame) -> DataFrame:
-    """(doc_id, score, tails): tails are -log of the left and right tail probability of each statistic, within the language.
 
-    score is the greatest of three sums over the statistics: left tails, right tails, and the tail on the side of the skew.
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(s).alias("value")) for i, s in enumerate(STATISTICS)]))
-    long = feats.select("doc_id", "lang", pairs.alias("p")).select("doc_id", "lang", "p.stat", "p.value")
-    r = ranks(long.select("lang", "stat", "value"))
-    left, right = -F.log(F.col("upto") / F.col("total")), -F.log((F.col("total") - F.col("upto") + F.col("n")) / F.col("total"))
-    skew = long.groupBy("lang", "stat").agg(F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"))
-    tails = r.select("lang", "stat", "value", left.alias("l"), right.alias("r")).join(skew, ["lang", "stat"])
-    tails = tails.select("lang", "stat", "value", "l", "r", F.when(F.col("skew") < 0, F.col("l")).otherwise(F.col("r")).alias("a"))
-    each = long.join(tails, ["lang", "stat", "value"])
-    n = len(STATISTICS)
-    pick = [F.max(F.when(F.col("stat") == i, F.col(c))).alias(f"{c}{i}") for i in range(n) for c in "lr"]
-    return each.groupBy("doc_id").agg(F.greatest(F.sum("l"), F.sum("r"), F.sum("a")).alias("score"), *pick)
+def by_document(t: DataFrame) -> DataFrame:
+    return t.repartition("doc_id").sortWithinPartitions("doc_id")
 
 
-SCORES = ("score", *[f"{c}{i}" for i in range(len(STATISTICS)) for c in "lr"])
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for docs, lang, value, _, score in _whole(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(docs), lang, *[pa.array(value[:, i]) for i in range(len(STATISTICS))], pa.array(score)], ["doc_id", "lang", *STATISTICS, "score"])
 
 
-def scored(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id, lang, *FEATURES, *SCORES), doc_id unique: of repeated ids one row stands."""
-    feats = materialize(features(documents, common_words).dropDuplicates(["doc_id"]), "features")
-    return feats.join(outlier_scores(feats), "doc_id")
+def outlier_scores(feats: DataFrame) -> DataFrame:
+    """(doc_id, lang, *STATISTICS, score), one row a document: the greatest of three sums over STATISTICS, of left tails, of right tails
+    and of the tails on the side of the skew."""
+    return by_document(tails(feats)).mapInArrow(_scores, "doc_id bigint, lang string, " + ", ".join(f"{c} double" for c in (*STATISTICS, "score")))
 
 
 # ---- kinds ----
 
-def by_shape(x: dict[str, np.ndarray]) -> np.ndarray:
+def by_shape(value: np.ndarray) -> np.ndarray:
     """The kind from the shares of line shapes alone, as positions in KINDS; used where there are no labels to learn from."""
+    x = {c: value[:, i] for i, c in enumerate(RANKED)}
     lists, tables, junk = x["list_share"] + x["label_share"] + x["short_lines"], x["table_share"], x["code_share"] + x["log_share"] + x["rule_share"]
     junk = np.maximum(junk, np.where((x["word_count"] == 0) | (x["distinct_sentences"] < 0.3) | (x["other_ratio"] > 0.2) | (x["vowel_ratio"] < 0.2) | ((x["menu_ratio"] > 0.3) & (x["n_lines"] < 4)) | ((x["distinct_words"] < 0.15) & (x["word_count"] > 20)), 1.0, 0.0))
     shares = np.stack([x["prose_share"] + 1e-6, lists, tables, junk])
     return np.where(junk == 1.0, 3, np.argmax(shares, axis=0))
 
 
-def inputs(x: dict[str, np.ndarray]) -> np.ndarray:
-    """What the trees see: features, scores, and the kind by shape as four numbers."""
-    n = len(x["word_count"])
-    shape = by_shape(x) if n else np.empty(0, int)
-    return np.stack([*(np.asarray(x[c], np.float64) for c in (*FEATURES, *SCORES)), *((shape == k).astype(np.float64) for k in range(len(KINDS)))], axis=1)
-
-
-def learn(scored_docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Trees | None:
-    """Trees fitted on at most `most` labelled documents; None if fewer than 20 or all of one kind. Unknown kinds are ignored.
+def learn(t: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Trees | None:
+    """Trees fitted on the tails and scores of at most `most` labelled documents; None if fewer than 20 or all of one kind. Unknown kinds
+    are ignored.
 
     Of a document's labels the most frequent counts, ties go to the rater with the lowest name.
     """
     own = labels.where(F.col("kind").isin(*KINDS) & F.col("doc_id").isNotNull())
     votes = own.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min("rater").alias("rater"))
-    one = votes.groupBy("doc_id").agg(F.min_by("kind", F.struct(-F.col("n"), "rater", "kind")).alias("kind"))
-    rows = one.join(scored_docs, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("kind", *FEATURES, *SCORES).toPandas()
-    if len(rows) < 20 or rows["kind"].nunique() < 2:
+    one = votes.groupBy("doc_id").agg(F.min_by("kind", F.struct(-F.col("n"), "rater", "kind")).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    kind = {r["doc_id"]: KINDS.index(r["kind"]) for r in one.collect()}
+    rows = t.join(one.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").toArrow() if kind else None
+    if rows is None or not rows.num_rows:
         return None
-    y = rows["kind"].map({k: i for i, k in enumerate(KINDS)}).to_numpy()
-    return fit(inputs({c: rows[c].to_numpy() for c in (*FEATURES, *SCORES)}), y, len(KINDS))
+    got = [(docs, x) for docs, _, _, x, _ in _whole(iter(rows.combine_chunks().to_batches()))]
+    docs, x = np.concatenate([d for d, _ in got]), np.concatenate([y for _, y in got])
+    y = np.array([kind[int(d)] for d in docs])
+    return fit(x, y, len(KINDS)) if len(y) >= 20 and len(set(y.tolist())) > 1 else None
 
 
 def _classify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: Trees | None = shared.value
-        for b in batches:
-            cols = {c: b[c].to_numpy(zero_copy_only=False) for c in (*FEATURES, *SCORES)}
-            got = np.empty(0, int) if not b.num_rows else trees.classes(inputs(cols)) if trees else by_shape(cols)
-            got = np.where(cols["word_count"] + cols["n_chars"] == 0, KINDS.index("junk"), got)  # null and blank
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([KINDS[i] for i in got], pa.string()), b["score"]], ["doc_id", "kind", "score"])
+        for docs, _, value, x, score in _whole(batches):
+            got = trees.classes(x) if trees else by_shape(value)
+            got = np.where(value[:, RANKED.index("n_lines")] == 0, KINDS.index("junk"), got)  # null and blank
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array([KINDS[i] for i in got], pa.string()), pa.array(score)], ["doc_id", "kind", "score"])
 
     return run
 
 
 def kinds(documents: DataFrame, common_words: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """(doc_id, kind, score) of every document. Null, empty and blank texts are junk."""
-    s = materialize(scored(documents, common_words), "scored")
-    shared = documents.sparkSession.sparkContext.broadcast(learn(s, labels, most))
-    return s.select("doc_id", *FEATURES, *SCORES).mapInArrow(_classify(shared), "doc_id bigint, kind string, score double")
+    """(doc_id, kind, score) of every document, once each. Null, empty and blank texts are junk; rows without a doc_id are left out; an
+    empty table gives no rows."""
+    t = materialize(tails(materialize(features(documents, common_words), "features")), "tails")
+    shared = documents.sparkSession.sparkContext.broadcast(learn(t, labels, most))
+    return by_document(t).mapInArrow(_classify(shared), "doc_id bigint, kind string, score double")
 
 
 def found(documents: DataFrame, common_words: DataFrame, labels: DataFrame) -> DataFrame:
@@ -271,4 +340,4 @@ def found(documents: DataFrame, common_words: DataFrame, labels: DataFrame) -> D
 
 def outliers(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """The named statistics and the outlier score of every document."""
-    return scored(documents, common_words).select("doc_id", "lang", *STATISTICS, "score")
+    return outlier_scores(materialize(features(documents, common_words), "features"))

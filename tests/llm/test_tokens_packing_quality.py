@@ -108,13 +108,28 @@ def test_statistics():
 
 
 def test_ranks_are_exact(spark):
+    """Also where one value is spread over several parts."""
     rng = random.Random(4)
-    rows = [(rng.choice(["en", "en", "pt"]), s, rng.choice([0.0, 0.0, 1.5, rng.random(), float("inf")])) for s in range(3) for _ in range(500)]
-    got = {(r.lang, r.stat, r.value): (r.n, r.upto, r.total) for r in quality.ranks(spark.createDataFrame(rows, "lang string, stat int, value double"), parts=7).collect()}
-    assert len(got) == len(set(rows))
-    for (g, s, v), (n, upto, total) in got.items():
-        same = [x for a, b, x in rows if (a, b) == (g, s)]
-        assert (n, upto, total) == (same.count(v), sum(x <= v for x in same), len(same))
+    rows = [(rng.choice(["en", "en", "pt"]), s, rng.choice([0.0, 0.0, 1.5, rng.random(), float("inf")]), k) for s in range(3) for k in range(500)]
+    for parts in (1, 7, 40):
+        got = quality.ranks(spark.createDataFrame(rows, "lang string, stat int, value double, doc_id long"), parts=parts).collect()
+        assert sorted((r.lang, r.stat, r.value, r.doc_id) for r in got) == sorted(rows)
+        for r in got:
+            same = [x for a, b, x, _ in rows if (a, b) == (r.lang, r.stat)]
+            assert (r.n, r.upto, r.total) == (same.count(r.value), sum(x <= r.value for x in same), len(same))
+    assert quality.ranks(spark.createDataFrame([], "lang string, stat int, value double, doc_id long")).count() == 0
+
+
+def test_scores_decide_the_kind(spark):
+    """Without the tails of its language a document's kind is another: the trees see nothing else."""
+    d = "/root/testdata/sf0.1"
+    lab = table(spark, d, "quality_labels")
+    x = table(spark, d, "documents").join(lab.select("doc_id").distinct(), "doc_id", "left_semi")
+    t = quality.materialize(quality.tails(quality.features(x, table(spark, d, "common_words"))), "t")
+    trees = quality.learn(t, lab)
+    got = list(quality._whole(iter(t.orderBy("doc_id").toArrow().combine_chunks().to_batches())))
+    both, value = np.concatenate([g[3] for g in got]), np.concatenate([g[2] for g in got])
+    assert both.shape[1] == 2 * len(quality.RANKED) + 2 and (trees.classes(both) != trees.classes(np.zeros_like(both))).any() and len(value) == x.select("doc_id").distinct().count()
 
 
 def docs(spark):
