@@ -10,9 +10,8 @@ without usable labels, from the shares of line shapes.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
-from string import ascii_letters, ascii_uppercase, digits
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +23,9 @@ from procmill.session import materialize, ship, spread
 
 KINDS = ("prose", "list", "table", "junk")
 STATISTICS = ("word_count", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
-SHAPES = (
-    "n_chars", "n_lines", "words_per_line", "words_per_sentence", "upper_start", "short_lines", "list_share", "label_share", "table_share", "code_share", "log_share", "rule_share", "prose_share",
-    "digit_ratio", "upper_ratio", "space_ratio", "vowel_ratio", "other_ratio", "bracket_ratio", "separator_ratio", "distinct_lines", "distinct_words", "distinct_sentences", "compressed", "longest_word", "line_spread", "menu_ratio",
-)
-FEATURES = STATISTICS + SHAPES
-#: The statistics that are ranked and decide.
-RANKED = STATISTICS + (
-    "words_per_line", "short_lines", "list_share", "label_share", "table_share", "code_share", "log_share", "rule_share", "prose_share",
-    "vowel_ratio", "other_ratio", "distinct_lines", "distinct_sentences", "distinct_words", "compressed", "menu_ratio", "n_lines",
-)
+SHAPES = ("words_per_line", "short_lines", "list_share", "label_share", "table_share", "junk_share", "prose_share", "vowel_ratio", "other_ratio", "distinct_sentences", "distinct_words", "menu_ratio", "n_lines")
+#: All of them are ranked, and decide.
+RANKED = STATISTICS + SHAPES
 #: Labelled documents that the trees are fitted on, at most; those with the least hash of their id if there are more.
 MOST_LABELS = 20_000
 
@@ -50,8 +42,8 @@ _GAPS = re.compile(r"\S {2,}(?=\S)")
 _COMMA = re.compile(r",(?=\S|$)")
 _MENU = re.compile(r" [|>»·•/-] ")
 
-#: Columns: letters, capitals, digits, blanks, plain punctuation, vowels, brackets, separators; rows: ASCII codes.
-_CLASSES = np.array([[chr(b) in x for x in (ascii_letters, ascii_uppercase, digits, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", ".,;:!?'\"()-", "aeiouyAEIOUY", "{}[]<>", "|;,\t")] for b in range(256)], np.int64)
+#: Columns: letters, digits, blanks, plain punctuation, vowels; rows: ASCII codes.
+_CLASSES = np.array([[chr(b) in x for x in (ascii_letters, digits, " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f", ".,;:!?'\"()-", "aeiouyAEIOUY")] for b in range(256)], np.int64)
 
 
 def _line_kind(s: str) -> str:
@@ -79,7 +71,7 @@ def _line_kind(s: str) -> str:
 
 
 def statistics(text: str | None, common: frozenset[str]) -> list[float]:
-    """FEATURES of one text; a null, empty or blank text has zero everywhere.
+    """RANKED of one text; a null, empty or blank text has zero everywhere.
 
     words: runs of letters (with inner apostrophes and hyphens) or digits; symbol ratio: characters that are neither letters,
     digits, white space nor . , ; : ! ? ' " ( ) -, of all that are not white space; punctuation ends a line by . ! ? : ; or an
@@ -87,18 +79,17 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     language has none).
     """
     if not text or not text.strip():
-        return [0.0] * len(FEATURES)
+        return [0.0] * len(RANKED)
     n = len(text)
     low = text.lower()
     data = text.encode("utf-8")
     plain_text = len(data) == n
     words = (_ASCII_WORD if plain_text else _WORD).findall(low)
     nw = len(words)
-    letters, upper, figures, blanks, plain, vowels, brackets, separators = (np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _CLASSES).tolist()
+    letters, figures, blanks, plain, vowels = (np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _CLASSES).tolist()
     beyond = "" if plain_text else "".join(_BEYOND.findall(text))
     if beyond:
         letters += sum(map(str.isalpha, beyond))
-        upper += sum(map(str.isupper, beyond))
         figures += sum(map(str.isdecimal, beyond))
         blanks += sum(map(str.isspace, beyond))
         vowels += sum(map(beyond.lower().count, "áéíóúãõâêôàäöü"))
@@ -112,18 +103,13 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
         k = _line_kind(x)
         share[k] = share.get(k, 0) + len(x)
     whole = sum(share.values()) or 1
-    of = lambda k: share.get(k, 0) / whole
-    sentences = [x.strip() for x in _SENTENCE.split(text)]
-    sentences = [x for x in sentences if x]
-    uniq = sum(map(len, set(sentences)))
-    lengths = [len(x) for x in lines]
-    mean = sum(lengths) / nl
+    of = lambda *ks: sum(share.get(k, 0) for k in ks) / whole
+    sentences = [y for x in _SENTENCE.split(text) if (y := x.strip())]
     return [
         float(nw), sum(map(len, words)) / nw if nw else 0.0, symbols / dense, ends / nl, sum(map(common.__contains__, words)) / nw if nw else 0.0,
-        float(n), float(nl), nw / nl, nw / max(len(sentences), 1), sum(1 for x in lines if x[0].isupper()) / nl, of("short"), of("list"), of("label"), of("table"), of("code"), of("log"), of("rule"), of("prose"),
-        figures / dense, upper / max(letters, 1), (n - dense) / n, vowels / max(letters, 1), sum(1 for c in beyond if c > "\u024f") / n,
-        brackets / dense, separators / dense, len(set(lines)) / nl, len(set(words)) / nw if nw else 0.0, uniq / max(sum(map(len, sentences)), 1),
-        len(zlib.compress(data, 1)) / len(data), float(max(map(len, text.split()))), (sum((x - mean) ** 2 for x in lengths) / nl) ** 0.5 / mean, len(_MENU.findall(text)) / max(nw, 1),
+        nw / nl, of("short"), of("list"), of("label"), of("table"), of("code", "log", "rule"), of("prose"),
+        vowels / max(letters, 1), sum(1 for c in beyond if c > "\u024f") / n, sum(map(len, set(sentences))) / max(sum(map(len, sentences)), 1), len(set(words)) / nw if nw else 0.0,
+        len(_MENU.findall(text)) / max(nw, 1), float(nl),
     ]
 
 
@@ -139,16 +125,13 @@ def _features(shared):
         every = frozenset().union(*lists.values())
         for b in batches:
             rows = [statistics(t, lists.get(g, every)) for g, t in zip(b["lang"].to_pylist(), b["text"].to_pylist())]
-            x = np.array(rows, np.float64).reshape(len(rows), len(FEATURES))[:, _AT]
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(_AT), pa.int32()), pa.array(x.reshape(-1)))
+            x = np.array(rows, np.float64).reshape(len(rows), len(RANKED))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(RANKED), pa.int32()), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], values], ["doc_id", "lang", "x"])
 
     return run
 
 
-_AT = [FEATURES.index(f) for f in RANKED]
-
-
 def features(documents: DataFrame, common_words: DataFrame, most_words: int = 100_000) -> DataFrame:
     """(doc_id, lang, x: values of RANKED), lang without region. common_words: (lang, word), a parameter table of at most most_words rows."""
     spark = documents.sparkSession
@@ -290,7 +273,7 @@ def outlier_scores(feats: DataFrame) -> DataFrame:
 def by_shape(value: np.ndarray) -> np.ndarray:
     """The kind from the shares of line shapes alone, as positions in KINDS; used where there are no labels to learn from."""
     x = {c: value[:, i] for i, c in enumerate(RANKED)}
-    lists, tables, junk = x["list_share"] + x["label_share"] + x["short_lines"], x["table_share"], x["code_share"] + x["log_share"] + x["rule_share"]
+    lists, tables, junk = x["list_share"] + x["label_share"] + x["short_lines"], x["table_share"], x["junk_share"]
     junk = np.maximum(junk, np.where((x["word_count"] == 0) | (x["distinct_sentences"] < 0.3) | (x["other_ratio"] > 0.2) | (x["vowel_ratio"] < 0.2) | ((x["menu_ratio"] > 0.3) & (x["n_lines"] < 4)) | ((x["distinct_words"] < 0.15) & (x["word_count"] > 20)), 1.0, 0.0))
     shares = np.stack([x["prose_share"] + 1e-6, lists, tables, junk])
     return np.where(junk == 1.0, 3, np.argmax(shares, axis=0))

@@ -101,7 +101,7 @@ def test_balanced_is_balanced():
 # ---- quality ----
 
 def test_statistics():
-    s = dict(zip(quality.FEATURES, quality.statistics("The clerk checks it.\n- item one\n\na | b | c", frozenset({"the", "it"}))))
+    s = dict(zip(quality.RANKED, quality.statistics("The clerk checks it.\n- item one\n\na | b | c", frozenset({"the", "it"}))))
     assert s["word_count"] == 9 and s["common_word_share"] == pytest.approx(2 / 9) and s["punct_line_share"] == pytest.approx(1 / 3) and s["n_lines"] == 3 and s["symbol_ratio"] == pytest.approx(2 / 30)
     assert all(x == 0 for t in (None, "", " \n") for x in quality.statistics(t, frozenset()))
     assert all(np.isfinite(quality.statistics(t, frozenset())).all() for t in (*ODD[1:], "?", "\n.\n", "x " * 200_000))
