@@ -1,8 +1,9 @@
-"""Reading process models out of text: JSON that may be wrapped, quoted or embedded, and XML, both into one canonical JSON form.
+"""Reading process models out of text: JSON that may be wrapped, quoted or embedded, and XML, both as JSON records of one shape.
 
-The canonical form of a record is {"processes": [{"lanes": [LANE], "nodes": [NODE], "flows": [FLOW]}]} with
-LANE {"id", "refs", "lanes"}, NODE {"id", "nodes", "flows", "lanes"}, FLOW {"id", "source", "target"}; absent parts are left out
-and all scalars are strings as they were written.
+A record is {"processes": [PROCESS], ...} with all that the text says. PROCESS, and a node that holds others, may have "lanes", "nodes" and
+"flows", a lane "refs" and "lanes"; these are lists whatever their form in the text. Everything else keeps its key and its place, also
+arrays that nobody knows; scalars are strings as they were written. Which keys mean the same (from and source, ...) is left to those
+who read the records.
 """
 
 from __future__ import annotations
@@ -76,49 +77,47 @@ def _items(x) -> list:
     return x if isinstance(x, list) else [x] if isinstance(x, dict) else []
 
 
-def _body(d: dict) -> dict:
-    out: dict = {}
-    if lanes := [_lane(x) for x in _items(d.get("lanes")) if isinstance(x, dict)]:
-        out["lanes"] = lanes
-    if nodes := [_node(x) for x in _items(d.get("nodes")) if isinstance(x, dict)]:
-        out["nodes"] = nodes
-    if flows := [_flow(x) for x in _items(d.get("flows")) if isinstance(x, dict)]:
-        out["flows"] = flows
-    return out
-
-
-def _lane(d: dict) -> dict:
-    out: dict = {"id": _first(d, "id", "name")}
-    if refs := [r for r in map(_text, _items(d.get("refs")) if isinstance(d.get("refs"), list) else [d.get("refs")]) if r]:
-        out["refs"] = refs
-    if lanes := [_lane(x) for x in _items(d.get("lanes")) if isinstance(x, dict)]:
-        out["lanes"] = lanes
-    return out
+#: Keys that name things; an object or array in their place is kept under the key with an underscore.
+NAMING = ("id", "name", "from", "source", "to", "target")
 
 
-def _node(d: dict) -> dict:
-    return {"id": _first(d, "id"), **_body(d)}
+def _plain(x):
+    """Scalars as text, at any depth."""
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    return [_plain(v) for v in x] if isinstance(x, list) else _text(x)
 
 
-def _flow(d: dict) -> dict:
-    source, target = _first(d, "from", "source"), _first(d, "to", "target")
-    return {"id": _first(d, "id") or f"f_{source or ''}_{target or ''}", "source": source, "target": target}
+def _shaped(d: dict, body: bool = True) -> dict:
+    """An object of a model with its lanes, nodes, flows and refs as lists."""
+    out: dict = {}
+    for k, v in d.items():
+        if k in LISTS and body:
+            if got := [_shaped(x, k != "flows") for x in _items(v) if isinstance(x, dict)]:
+                out[k] = got
+        elif k == "refs":
+            if got := [r for r in map(_text, v if isinstance(v, list) else [v]) if r]:
+                out[k] = got
+        else:
+            out[f"{k}_" if k in NAMING and isinstance(v, (dict, list)) else k] = _plain(v)
+    return out
 
 
-def canonical_of_json(text: str | None) -> str | None:
+def record_of_json(text: str | None) -> str | None:
+    """The record of a JSON text; None if it holds no process."""
     value = read_json(text)
+    more: dict = {}
     if isinstance(value, dict):
-        for w in WRAPPERS:
-            if isinstance(value.get(w), (list, dict)):
-                value = _items(value[w])
-                break
+        w = next((w for w in WRAPPERS if isinstance(value.get(w), (list, dict))), None)
+        if w:
+            more, value = {k: v for k, v in value.items() if k not in WRAPPERS}, _items(value[w])
         else:
             value = [value] if any(k in value for k in LISTS) else []
     if not isinstance(value, list):
         return None
     try:
-        processes = [_body(p) if isinstance(p, dict) else {} for p in (read_json(x) if isinstance(x, str) else x for x in value)]
-        return json.dumps({"processes": processes}, ensure_ascii=False) if any(processes) else None
+        processes = [_shaped(p) if isinstance(p, dict) else {} for p in (read_json(x) if isinstance(x, str) else x for x in value)]
+        return json.dumps({**_plain(more), "processes": processes}, ensure_ascii=False) if any(any(p.get(k) for k in LISTS) for p in processes) else None
     except RecursionError:
         return None
 
@@ -127,8 +126,17 @@ def _local(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
 
+def _attributes(e: ET.Element) -> dict:
+    return {k.rpartition("}")[2]: v for k, v in e.attrib.items()}
+
+
+def _said(e: ET.Element, kind: str) -> dict:
+    """{key: text} of the first child of this kind, if it has any text."""
+    text = next(("".join(c.itertext()).strip() for c in e if _local(c) == kind), "")
+    return {"doc" if kind == "documentation" else "condition": text} if text else {}
+
+
 def _xml_lane(e: ET.Element) -> dict:
-    out: dict = {"id": e.get("id") or e.get("name")}
     refs, lanes = [], []
     for c in e:
         kind = _local(c)
@@ -136,7 +144,7 @@ def _xml_lane(e: ET.Element) -> dict:
             refs.append(r)
         elif kind in ("childLaneSet", "laneSet"):
             lanes += [_xml_lane(x) for x in c if _local(x) == "lane"]
-    return out | ({"refs": refs} if refs else {}) | ({"lanes": lanes} if lanes else {})
+    return _attributes(e) | ({"refs": refs} if refs else {}) | ({"lanes": lanes} if lanes else {})
 
 
 def _xml_body(e: ET.Element) -> dict:
@@ -146,28 +154,27 @@ def _xml_body(e: ET.Element) -> dict:
         if kind == "laneSet":
             lanes += [_xml_lane(x) for x in c if _local(x) == "lane"]
         elif kind == "sequenceFlow":
-            source, target = c.get("sourceRef") or None, c.get("targetRef") or None
-            flows.append({"id": c.get("id") or f"f_{source or ''}_{target or ''}", "source": source, "target": target})
+            flows.append(_attributes(c) | {"source": c.get("sourceRef"), "target": c.get("targetRef")} | _said(c, "conditionExpression"))
         elif (k := kind.lower()).endswith(NODE_ENDINGS):
-            nodes.append({"id": c.get("id"), **(_xml_body(c) if k.endswith(NESTING_TAGS) else {})})
+            nodes.append(_attributes(c) | {"type": kind} | _said(c, "documentation") | (_xml_body(c) if k.endswith(NESTING_TAGS) else {}))
     return {k: v for k, v in (("lanes", lanes), ("nodes", nodes), ("flows", flows)) if v}
 
 
-def canonical_of_xml(text: str | None) -> str | None:
+def record_of_xml(text: str | None) -> str | None:
     if not text or "<" not in text:
         return None
     try:
         root = ET.fromstring(text.strip("\ufeff\u200b \t\r\n"))
-        processes = [_xml_body(p) for p in root.iter() if _local(p) == "process"]
-        return json.dumps({"processes": processes}, ensure_ascii=False) if any(processes) else None
+        processes = [_attributes(p) | _xml_body(p) for p in root.iter() if _local(p) == "process"]
+        return json.dumps({"processes": processes}, ensure_ascii=False) if any(any(k in p for k in LISTS) for p in processes) else None
     except (ET.ParseError, ValueError, RecursionError, LookupError):
         return None
 
 
-READERS = {"json": canonical_of_json, "xml": canonical_of_xml}
+READERS = {"json": record_of_json, "xml": record_of_xml}
 
 
-def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: (origin, record_key, form, text) to (origin, record_key, doc), without the records that hold no model."""
     for b in batches:
         docs = [READERS[f](t) for f, t in zip(b["form"].to_pylist(), b["text"].to_pylist())]

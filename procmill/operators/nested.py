@@ -11,8 +11,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from procmill.functions.models import canonical_batches
-from procmill.session import spread
+from procmill.functions.models import record_batches
+from procmill.session import materialize, spread
 
 ROW = "level string, sk string, parent_sk string, root_no int, ordinal int, parent_id string, id string, {} value string"
 
@@ -61,6 +61,38 @@ def infer_schema(df: DataFrame, col: str) -> T.DataType | None:
     return kind if isinstance(kind, (T.StructType, T.ArrayType)) else None
 
 
+def pruned(kind: T.DataType, fields: tuple[str, ...], arrays: tuple[str, ...] | None = None) -> T.DataType:
+    """The schema with only these scalar fields, and these arrays (all, if None): what from_json need not build."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(pruned(kind.elementType, fields, arrays))
+    if not isinstance(kind, T.StructType):
+        return kind
+    out = []
+    for f in kind.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            if arrays is None or f.name in arrays:
+                out.append(T.StructField(f.name, pruned(f.dataType, fields, arrays)))
+        elif isinstance(f.dataType, T.StructType):
+            if (inner := pruned(f.dataType, fields, arrays)).fields:
+                out.append(T.StructField(f.name, inner))
+        elif f.name in fields:
+            out.append(f)
+    return T.StructType(out)
+
+
+def levels(kind: T.DataType | None, level: str = "") -> dict[str, tuple[str, ...]]:
+    """The array levels of a schema by their dotted paths, each with the scalar fields of its items."""
+    if isinstance(kind, T.ArrayType):
+        name = level or "items"
+        inner = kind.elementType
+        own = tuple(f.name for f in inner.fields if not isinstance(f.dataType, (T.ArrayType, T.StructType))) if isinstance(inner, T.StructType) else ()
+        return {name: own} | (levels(inner, f"{name}.items" if isinstance(inner, T.ArrayType) else name))
+    out: dict[str, tuple[str, ...]] = {}
+    for f in kind.fields if isinstance(kind, T.StructType) else []:
+        out |= levels(f.dataType, f"{level}.{f.name}" if level else f.name)
+    return out
+
+
 # ---- explosion ----
 
 def _scalar(e: Column, kind: T.DataType, name: str) -> Column:
@@ -75,9 +107,9 @@ def _level(items: Column, kind: T.DataType, level: str, parent_sk: Column, paren
         sk = F.concat(parent_sk, F.lit(f"/{level.rpartition('.')[2]}:"), i.cast("string"))
         root = i if root_no is None else root_no
         scalar = not isinstance(kind, (T.StructType, T.ArrayType))
-        own_id = F.lit(None).cast("string") if scalar else _scalar(e, kind, "id")
+        own_id = F.lit(None).cast("string") if scalar else F.coalesce(F.nullif(_scalar(e, kind, "id"), F.lit("")), *([F.nullif(_scalar(e, kind, "name"), F.lit(""))] if level.endswith("lanes") else []))
         own = F.struct(
-            F.lit(level).alias("level"), sk.alias("sk"), parent_sk.alias("parent_sk"), root.cast("int").alias("root_no"), i.cast("int").alias("ordinal"), parent_id.alias("parent_id"), own_id.alias("id"),
+            F.lit(level).alias("level"), sk.alias("sk"), parent_sk.alias("parent_sk"), root.cast("int").alias("root_no"), i.cast("int").alias("ordinal"), parent_id.alias("parent_id"), (F.lit(None).cast("string") if scalar else _scalar(e, kind, "id")).alias("id"),
             *[_scalar(e, kind, f).alias(f) for f in fields], (e if scalar else F.lit(None)).cast("string").alias("value"),
         )
         below = _below(e, kind, level, sk, own_id, root, fields)
@@ -114,6 +146,7 @@ def explode_levels(df: DataFrame, col: str, schema: T.DataType | None, keys: tup
     out = [df[k] for k in keys]
     if schema is None:
         return df.where("false").select(*out, F.expr(f"cast(null as struct<{_row_type(fields)}>)").alias("r")).select(*keys, "r.*")
+    schema = pruned(schema, ("id", *fields))
     doc = F.from_json(F.col(col), schema)
     rows = _below(doc, schema, "", F.lit("").cast("string"), F.lit(None).cast("string"), None, fields)
     if not rows:
@@ -121,39 +154,60 @@ def explode_levels(df: DataFrame, col: str, schema: T.DataType | None, keys: tup
     return df.select(*out, F.explode(F.concat(*rows) if len(rows) > 1 else rows[0]).alias("r")).select(*keys, "r.*")
 
 
+def child_table(df: DataFrame, col: str, schema: T.DataType | None, keys: tuple[str, ...], level: str) -> DataFrame:
+    """One array level as a table of its own: the record's keys, sk, parent_sk, ordinal, and every scalar field of its items as a column
+    (fields named like one of these get an underscore), or `value` where items are scalars."""
+    fields = levels(schema).get(level, ())
+    rows = explode_levels(df, col, schema, keys, tuple(f for f in fields if f != "id")).where(F.col("level") == level)
+    taken = {*keys, "sk", "parent_sk", "ordinal"}
+    return rows.select(*keys, "sk", "parent_sk", "ordinal", *[F.col(f"`{f}`").alias(f"{f}_" if f in taken else f) for f in fields], *([] if fields else ["value"]))
+
+
 # ---- process models ----
 
+#: Levels and fields that say what a model is made of.
+PARTS, NAMES = ("processes", "lanes", "nodes", "flows", "refs"), ("name", "from", "source", "to", "target")
+
+
 def model_documents(sources: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
-    """(origin, record_key, doc) of all records that hold a process model. sources: (table, origin, key column, text column, form)."""
+    """(origin, record_key, doc) of all records that hold a process model, read once and written to the shared folder.
+
+    sources: (table, origin, key column, text column, form)."""
     parts = None
     for df, origin, key, text, form in sources:
         one = df.select(F.lit(origin).alias("origin"), df[key].cast("string").alias("record_key"), F.lit(form).alias("form"), df[text].alias("text")).where("text is not null")
         parts = one if parts is None else parts.unionByName(one)
-    return spread(parts).mapInArrow(canonical_batches, "origin string, record_key string, doc string")
+    return materialize(spread(parts).mapInArrow(record_batches, "origin string, record_key string, doc string"), "records")
 
 
 def model_rows(docs: DataFrame) -> DataFrame:
-    """The tall table of all levels of the canonical documents."""
-    return explode_levels(docs, "doc", infer_schema(docs, "doc"), ("origin", "record_key"), ("source", "target"))
+    """The tall table of all levels of the records, whatever arrays they have."""
+    return explode_levels(docs, "doc", infer_schema(docs, "doc"), ("origin", "record_key"), NAMES)
 
 
 def model_elements(docs: DataFrame) -> DataFrame:
     """Lanes, nodes, lane members and flow ends, distinct: (origin, record_key, process_no, kind, element_id, parent_id).
 
-    A lane's or node's parent is the lane or node that encloses it, or ''. Elements without any id give no row, nor do flow ends
-    that name no node. Repeated records collapse.
+    A lane's or node's parent is the lane or node that encloses it, or ''. A lane without id goes by its name, a flow without one by
+    f_<source>_<target>; from and to are source and target. Elements without any id give no row, nor do flow ends that name no node.
+    Repeated records collapse.
     """
+    schema = infer_schema(docs, "doc")
+    tall = explode_levels(docs, "doc", pruned(schema, ("id", *NAMES), PARTS) if schema else None, ("origin", "record_key"), NAMES)
+    some = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
     last, above = F.element_at(F.split("level", r"\."), -1), F.element_at(F.split("level", r"\."), -2)
+    own, source, target = some("id"), some("from", "source"), some("to", "target")
+    flow = F.coalesce(own, F.concat(F.lit("f_"), F.coalesce(source, F.lit("")), F.lit("_"), F.coalesce(target, F.lit(""))))
     parent = F.when(above == last, F.coalesce("parent_id", F.lit(""))).otherwise(F.lit(""))
     row = lambda kind, element, up: F.struct(F.lit(kind).alias("kind"), element.alias("element_id"), up.alias("parent_id"))
     rows = (
-        F.when(last == "lanes", F.array(row("lane", F.col("id"), parent)))
-        .when(last == "nodes", F.array(row("node", F.col("id"), parent)))
+        F.when(last == "lanes", F.array(row("lane", some("id", "name"), parent)))
+        .when(last == "nodes", F.array(row("node", own, parent)))
         .when(last == "refs", F.array(row("member", F.col("value"), F.col("parent_id"))))
-        .when(last == "flows", F.array(row("source", F.col("id"), F.col("source")), row("target", F.col("id"), F.col("target"))))
+        .when(last == "flows", F.array(row("source", flow, source), row("target", flow, target)))
     )
     return (
-        model_rows(docs)
+        tall.where(F.col("level").startswith("processes"))
         .select("origin", "record_key", F.col("root_no").alias("process_no"), F.explode(rows).alias("e"))
         .select("origin", "record_key", "process_no", "e.kind", "e.element_id", "e.parent_id")
         .where("element_id is not null and parent_id is not null")

@@ -5,7 +5,7 @@ import json
 import brute_models as B
 import pytest
 
-from procmill.functions.models import canonical_of_json, canonical_of_xml, read_json
+from procmill.functions.models import record_of_json, record_of_xml, read_json
 from procmill.operators import nested as N
 
 MODEL = {"pool": "P", "lanes": [{"name": "Clerk", "refs": ["a", 2, "ghost"]}], "nodes": [{"id": "a"}, {"id": 2, "nodes": [{"id": "in", "nodes": [{"id": "deep"}]}], "flows": [{"source": "in", "target": "deep"}]}], "flows": [{"id": "f", "from": "a", "to": 2}]}
@@ -76,4 +76,22 @@ def test_reading(text, want):
 
 
 def test_numbers_keep_their_writing():
-    assert '"1.50"' in canonical_of_json('{"nodes": [{"id": 1.50}]}') and canonical_of_xml("<x") is None
+    assert '"1.50"' in record_of_json('{"nodes": [{"id": 1.50}]}') and record_of_xml("<x") is None
+
+
+def test_nothing_of_a_record_is_lost(spark):
+    """Unknown fields and arrays come out as columns and tables of their own, in JSON and in XML."""
+    odd = {"pool": "P", "version": 3, "messages": [{"from": "a", "to": "b", "label": "m"}], "lanes": {"id": "l", "refs": "a"}, "nodes": [{"id": "a", "type": "task", "name": "A", "props": [{"k": "x", "v": True}, {"k": "y"}], "from": {"deep": [1, 2]}}, {"id": "b", "cost": 1.50}], "flows": [{"from": "a", "to": "b", "cond": "ok", "label": "L"}]}
+    df = spark.createDataFrame([(1, json.dumps({"processes": [odd], "author": "me"}), "<x xmlns:z='u'><process id='p' name='N'><task id='t' name='T' z:extra='e'><documentation>why</documentation></task><sequenceFlow id='f' sourceRef='t' targetRef='t' name='n'><conditionExpression>c &gt; 1</conditionExpression></sequenceFlow></process></x>")], "id long, body string, xml string")
+    docs = N.model_documents([(df, "j", "id", "body", "json"), (df, "x", "id", "xml", "xml")])
+    schema = N.infer_schema(docs, "doc")
+    assert set(N.levels(schema)) == {f"processes{x}" for x in ("", ".lanes", ".lanes.refs", ".nodes", ".nodes.props", ".nodes.from_.deep", ".flows", ".messages")}
+    t = lambda level: [r.asDict() for r in N.child_table(docs, "doc", schema, ("origin",), level).orderBy("origin", "sk").collect()]
+    nodes = t("processes.nodes")
+    assert (nodes[0]["type"], nodes[0]["name"], nodes[1]["cost"]) == ("task", "A", "1.5") or nodes[1]["cost"] == "1.50"
+    assert nodes[2]["extra"] == "e" and nodes[2]["doc"] == "why" and nodes[2]["type"] == "task"
+    assert [(r["k"], r["v"], r["parent_sk"]) for r in t("processes.nodes.props")] == [("x", "true", "/processes:0/nodes:0"), ("y", None, "/processes:0/nodes:0")]
+    assert [r["value"] for r in t("processes.nodes.from_.deep")] == ["1", "2"] and t("processes.messages")[0]["label"] == "m"
+    flows = t("processes.flows")
+    assert (flows[0]["cond"], flows[0]["label"], flows[1]["condition"], flows[1]["name"]) == ("ok", "L", "c > 1", "n") and t("processes")[0]["version"] == "3"
+    assert {r.kind for r in N.model_elements(docs).where("origin = 'j'").collect()} == {"lane", "member", "node", "source", "target"}
