@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -100,6 +101,16 @@ def compared(df: DataFrame, keys: Sequence[str], reference: str, candidate: str,
     return expand(df, keys, [reference, candidate], f, _COMPARED)
 
 
+def of_edges(df: DataFrame, keys: Sequence[str], graph: str, kinds: dict[str, str], f: Callable, schema: str) -> DataFrame:
+    """f's rows of one graph per row, given as JSON {"nodes": [name], "edges": [[name, name]]}; names are ids, tasks but for `kinds`."""
+    def run(text):
+        x = json.loads(text)
+        g = G.Graph("", {i: G.Node(i, kinds.get(i, "task"), i) for i in x["nodes"]}, [G.Edge(f"e{k}", a, b) for k, (a, b) in enumerate(x["edges"])])
+        return f(g)
+
+    return expand(df, keys, [graph], run, schema)
+
+
 def best_scores(pairs: DataFrame, item: Sequence[str], tie: str) -> DataFrame:
     """Of a candidate's comparisons with several references the one with the highest F1, ties by `tie`; all measures from that one."""
     from procmill.operators.relational import best

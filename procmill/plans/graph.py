@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from procmill.operators import graphs as G
+from procmill.plans.model_sql import FOLLOWS, STRUCTURE, models
 from procmill.operators import relational as O
 from procmill.session import table
 
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 # ---- models ----
 
-@query()
+@query(f"WITH {models('samples', 'bpmn_json')} SELECT n.kind, n.cat AS category, count(*) AS n_nodes, count(DISTINCT g.key) AS n_models FROM n JOIN (SELECT DISTINCT rid, key FROM g) g ON g.rid = n.rid GROUP BY ALL")
 def model_nodes(spark, d):
     """Nodes of all sample models by kind and category."""
     return G.nodes(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").groupBy("kind", "category").agg(F.count("*").alias("n_nodes"), F.countDistinct("id").alias("n_models"))
@@ -35,7 +36,7 @@ def model_edges(spark, d):
     return G.edges(table(spark, d, "samples").where("xml is not null"), ["id"], "xml", "xml").groupBy("id", "process_no").agg(F.count("*").alias("n_edges"), F.count_if(F.col("condition") != "").alias("n_conditional"))
 
 
-@query()
+@query(f"WITH RECURSIVE {models('samples', 'bpmn_json')}, {FOLLOWS} SELECT DISTINCT id, a, b, CAST(n AS INTEGER) AS n FROM (SELECT g.key AS id, f.rid, a.label AS a, b.label AS b, count(*) AS n FROM f JOIN act a ON a.rid = f.rid AND a.no = f.no AND a.id = f.a JOIN act b ON b.rid = f.rid AND b.no = f.no AND b.id = f.b JOIN (SELECT DISTINCT rid, key FROM g) g ON g.rid = f.rid GROUP BY ALL)")
 def dfg_models(spark, d):
     """The direct-follows bag of every sample model."""
     return G.follows(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").distinct()
@@ -46,7 +47,7 @@ def dfg_gold(spark, d):
     return G.follows(table(spark, d, "gold_models"), ["sample_id", "variant"], "gold_xml", "xml")
 
 
-@query()
+@query(f"WITH {models('json_bpmn_generations', 'output_json')} SELECT DISTINCT id, category, CAST(n AS INTEGER) AS n FROM (SELECT g.key AS id, n.rid, n.cat AS category, count(*) AS n FROM n JOIN (SELECT DISTINCT rid, key FROM g) g ON g.rid = n.rid WHERE n.cat IS NOT NULL GROUP BY ALL)")
 def node_category_bag(spark, d):
     return G.node_categories(table(spark, d, "json_bpmn_generations").where("output_json is not null"), ["id"], "output_json", "json").distinct()
 
@@ -62,6 +63,16 @@ def model_checks(spark, d):
     return G.checks(table(spark, d, "json_bpmn_generations").where("output_json is not null"), ["id"], "output_json", "json").distinct()
 
 
+@query(f"""WITH RECURSIVE {models('json_bpmn_generations', 'output_json')}, {STRUCTURE}, c AS (SELECT rid, no, count(*) AS n_nodes, CAST(sum(CASE WHEN n_out = 0 AND kind NOT LIKE 'end%' THEN 1 ELSE 0 END) + sum(CASE WHEN n_in = 0 AND kind NOT LIKE 'start%' THEN 1 ELSE 0 END) AS INTEGER) AS n_violations,
+CAST(count(*) FILTER (kind LIKE '%Gateway' AND n_out > 1) AS INTEGER) AS n_forks, CAST(count(*) FILTER (kind LIKE '%Gateway' AND n_in > 1) AS INTEGER) AS n_joins, CAST(count(*) FILTER (kind NOT LIKE '%Gateway' AND n_out > 1) AS INTEGER) AS n_implicit_splits FROM d GROUP BY ALL)
+SELECT DISTINCT g.key AS id, CAST(g.no - 1 AS INTEGER) AS process_no, CAST(coalesce(c.n_nodes, 0) AS INTEGER) AS n_nodes, CAST((SELECT count(*) FROM e WHERE e.rid = g.rid AND e.no = g.no) AS INTEGER) AS n_edges, CAST((SELECT count(*) FROM e WHERE e.rid = g.rid AND e.no = g.no) - (SELECT count(*) FROM i WHERE i.rid = g.rid AND i.no = g.no) AS INTEGER) AS n_dangling,
+st.start, CAST(coalesce(c.n_nodes, 0) - (SELECT count(*) FROM re WHERE re.rid = g.rid AND re.no = g.no) AS INTEGER) AS n_unreachable, CAST(coalesce(cm.n_components, 0) AS INTEGER) AS n_components, coalesce(n_violations, 0) AS n_violations, coalesce(n_forks, 0) AS n_forks, coalesce(n_joins, 0) AS n_joins, coalesce(n_implicit_splits, 0) AS n_implicit_splits
+FROM g LEFT JOIN c ON c.rid = g.rid AND c.no = g.no LEFT JOIN st ON st.rid = g.rid AND st.no = g.no LEFT JOIN cm ON cm.rid = g.rid AND cm.no = g.no""")
+def model_structure(spark, d):
+    """What model_checks finds by edges alone: start, unreachable nodes, connected parts, rule violations, forks, joins, implicit splits."""
+    return model_checks(spark, d).drop("n_loops", "n_warnings").distinct()
+
+
 @query()
 def join_points(spark, d):
     return G.join_points(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").distinct()
@@ -145,13 +156,21 @@ def dfg_events(spark, d):
     return e.where("b is not null").groupBy("user_id", F.col("event_type").alias("a"), "b").agg(F.count("*").alias("n"))
 
 
+def _graphs(spark, d, *kinds: tuple[str, str], keys=("user_id",)):
+    """One graph per user (and day): the kinds of events in order of their first, tasks but for `kinds`, and which follow which."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    w = W.partitionBy(*keys).orderBy("ts", "event_id")
+    e = e.select(*keys, "event_type", F.lead("event_type").over(w).alias("nxt"), F.row_number().over(w).alias("no"))
+    per = e.groupBy(*keys, "event_type").agg(F.min("no").alias("no"), F.collect_set("nxt").alias("nexts"))  # at most the kinds of events squared for each graph
+    per = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("no", "event_type", "nexts"))).alias("g"))
+    return per.select(*keys, F.to_json(F.struct(F.transform("g", lambda x: x["event_type"]).alias("nodes"), F.flatten(F.transform("g", lambda x: F.transform(F.array_sort(x["nexts"]), lambda t: F.array(x["event_type"], t)))).alias("edges"))).alias("graph")), dict(kinds)
+
+
 @query(f"""WITH {_T}, o AS (SELECT user_id, source AS node, count(*) AS n_out FROM e GROUP BY ALL), i AS (SELECT user_id, target AS node, count(*) AS n_in FROM e GROUP BY ALL)
 SELECT coalesce(o.user_id, i.user_id) AS user_id, coalesce(o.node, i.node) AS node, CASE WHEN n_out > 1 AND n_in > 1 THEN 'both' WHEN n_out > 1 THEN 'fork' WHEN n_in > 1 THEN 'join' ELSE 'none' END AS role FROM o FULL JOIN i ON o.user_id = i.user_id AND o.node = i.node""")
 def gateway_degree(spark, d):
-    e = _trace(spark, d).where("nxt is not null").select("user_id", F.col("event_type").alias("source"), F.col("nxt").alias("target")).distinct()
-    ends = e.select("user_id", F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).select("user_id", "x.*")
-    n = ends.groupBy("user_id", "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-    return n.select("user_id", "node", F.when((F.col("o") > 1) & (F.col("i") > 1), "both").when(F.col("o") > 1, "fork").when(F.col("i") > 1, "join").otherwise("none").alias("role"))
+    df, kinds = _graphs(spark, d)
+    return G.of_edges(df, ["user_id"], "graph", kinds, lambda g: [(i, G.G.gateway_role(g, i)) for i in g.nodes if any(i in (e.source, e.target) for e in g.edges)], "node string, role string")
 
 
 @query(f"WITH RECURSIVE {_T}, r(user_id, start, node) AS (SELECT user_id, 'signup', target FROM e WHERE source = 'signup' UNION SELECT r.user_id, r.start, e.target FROM r JOIN e ON e.user_id = r.user_id AND e.source = r.node) SELECT user_id, start, node FROM r")
@@ -160,22 +179,43 @@ def reachability(spark, d):
     return G.closure(e, e.where("source = 'signup'").select("user_id", F.col("source").alias("start")).distinct(), ["user_id"])
 
 
-@query(f"""WITH RECURSIVE {_T}, r(user_id, start, node) AS (SELECT user_id, 'signup', target FROM e WHERE source = 'signup' UNION SELECT r.user_id, r.start, e.target FROM r JOIN e ON e.user_id = r.user_id AND e.source = r.node)
-SELECT DISTINCT user_id, event_type AS node FROM events v WHERE event_type <> 'signup' AND NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = v.user_id AND r.node = v.event_type)""")
+_DAY = "CAST(ts AS DATE) AS day"
+_DAYS = f"v AS (SELECT user_id, {_DAY}, event_type, ts, event_id, lead(event_type) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)), e AS (SELECT DISTINCT user_id, day, event_type AS s, nxt AS t FROM v WHERE nxt IS NOT NULL), nd AS (SELECT user_id, day, event_type AS id, min((ts, event_id)) AS pos FROM v GROUP BY ALL)"
+_START = "fr AS (SELECT nd.*, EXISTS (SELECT 1 FROM e WHERE e.user_id = nd.user_id AND e.day = nd.day AND e.t = nd.id) AS has_in FROM nd), st AS (SELECT user_id, day, CASE WHEN bool_or(id = 'signup') THEN 'signup' ELSE arg_min(id, pos) FILTER (NOT has_in) END AS start FROM fr GROUP BY ALL)"
+
+
+@query(f"""WITH RECURSIVE {_DAYS}, {_START}, r(user_id, day, id) AS (SELECT user_id, day, start FROM st WHERE start IS NOT NULL UNION SELECT r.user_id, r.day, e.t FROM r JOIN e ON e.user_id = r.user_id AND e.day = r.day AND e.s = r.id)
+SELECT user_id, day, id AS node FROM nd WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = nd.user_id AND r.day = nd.day AND r.id = nd.id)""")
 def unreachable_nodes(spark, d):
-    seen = reachability(spark, d).select("user_id", "node")
-    return table(spark, d, "events").where("event_type <> 'signup'").select("user_id", F.col("event_type").alias("node")).distinct().join(seen, ["user_id", "node"], "left_anti")
+    """Kinds of events of a user's day that no way leads to from its start."""
+    df, kinds = _graphs(spark, d, ("signup", "startEvent"), keys=("user_id", "day"))
+    return G.of_edges(df, ["user_id", "day"], "graph", kinds, lambda g: [(i,) for i in G.G.unreachable(g)], "node string")
 
 
-@query("SELECT user_id, event_type AS start FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END, ts, event_id) AS n FROM events) WHERE n = 1")
+@query(f"WITH {_DAYS}, {_START} SELECT user_id, day, start FROM st")
 def start_pick(spark, d):
-    return O.latest(table(spark, d, "events"), ["user_id"], [F.when(F.col("event_type") == "signup", 0).otherwise(1), F.col("ts"), F.col("event_id")]).select("user_id", F.col("event_type").alias("start"))
+    """The start of every user's day: the sign-up, else the first kind of event that follows none."""
+    df, kinds = _graphs(spark, d, ("signup", "startEvent"), keys=("user_id", "day"))
+    return G.of_edges(df, ["user_id", "day"], "graph", kinds, lambda g: [(G.G.start_of(g),)], "start string")
 
 
 @query(f"WITH {_T} SELECT e.user_id, e.source, e.source || '_split' AS gateway, count(*) AS n_ways FROM e GROUP BY ALL HAVING count(*) > 1")
 def implicit_split(spark, d):
-    e = _trace(spark, d).where("nxt is not null").select("user_id", F.col("event_type").alias("source"), F.col("nxt").alias("target")).distinct()
-    return e.groupBy("user_id", "source").agg(F.count("*").alias("n_ways")).where("n_ways > 1").select("user_id", "source", F.concat("source", F.lit("_split")).alias("gateway"), "n_ways")
+    df, kinds = _graphs(spark, d)
+
+    def f(g):
+        new = G.G.split_implicit(g)
+        after = new.successors()
+        return [(e.source, e.target, len(after[e.target])) for e in new.edges if e.target not in g.nodes]
+
+    return G.of_edges(df, ["user_id"], "graph", kinds, f, "source string, gateway string, n_ways bigint")
+
+
+@query(f"WITH {_T} SELECT DISTINCT user_id, a, b, 1 AS n FROM (SELECT user_id, source AS a, target AS b FROM e WHERE source <> 'error' AND target <> 'error' UNION SELECT x.user_id, x.source, y.target FROM e x JOIN e y ON x.user_id = y.user_id AND x.target = 'error' AND y.source = 'error' WHERE x.source <> 'error' AND y.target <> 'error')")
+def dfg_event_graphs(spark, d):
+    """Direct follows of every user's graph of events, through errors."""
+    df, kinds = _graphs(spark, d, ("error", "exclusiveGateway"))
+    return G.of_edges(df, ["user_id"], "graph", kinds, lambda g: [(a, b, n) for (a, b), n in G.G.direct_follows(g).items()], "a string, b string, n int")
 
 
 @query(f"WITH {_T} SELECT DISTINCT a.user_id, a.source FROM e a WHERE a.source = a.target")
@@ -183,7 +223,8 @@ def self_loops(spark, d):
     return _trace(spark, d).where("nxt = event_type").select("user_id", F.col("event_type").alias("source")).distinct()
 
 
-@query()
+@query(f"""WITH {models('(SELECT * FROM samples WHERE raw_text IS NOT NULL)', 'bpmn_json', 'id', ', source, raw_text')}, w AS (SELECT DISTINCT rid, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g'), ' '), lambda v: v <> ''))) AS w FROM n WHERE cat IS NOT NULL), s AS (SELECT rid, id, source, list_distinct(list_filter(string_split(regexp_replace(lower(raw_text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda v: v <> '')) AS ws FROM (SELECT DISTINCT rid, key AS id, source, raw_text FROM g)),
+a AS (SELECT DISTINCT s.id, s.source, n_words, n_anchored FROM (SELECT s.rid, count(*) AS n_words, count(*) FILTER (list_contains(s.ws, w.w)) AS n_anchored FROM w JOIN s ON s.rid = w.rid GROUP BY ALL) c JOIN s ON s.rid = c.rid) SELECT source, count(*) AS n, round(avg(n_anchored / n_words), 9) AS mean_share FROM a GROUP BY source""")
 def lexical_anchoring(spark, d):
     """How far model labels use the words of the text they were made from, per source."""
     s = table(spark, d, "samples").where("bpmn_json is not null and raw_text is not null")

@@ -108,7 +108,7 @@ def ngram_contamination(spark, d):
     return s.withColumn("share", F.round(F.col("n_shared") / F.col("n_grams"), 9))
 
 
-@query()
+@query(r"WITH t AS (SELECT DISTINCT id, regexp_replace(output_json, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS t FROM json_bpmn_generations WHERE output_json IS NOT NULL) SELECT id, CASE WHEN t LIKE '```%' THEN regexp_replace(regexp_replace(regexp_replace(t, '^```[^\n]*\n?', ''), '\n?```[\s\x0b]*$', ''), '^[\s\x0b]+|[\s\x0b]+$', '', 'g') ELSE t END AS inside FROM t")
 def strip_fence(spark, d):
     return table(spark, d, "json_bpmn_generations").where("output_json is not null").select("id", X.without_fence(F.col("output_json")).alias("inside")).distinct()
 
