@@ -329,6 +329,16 @@ def perturb(graphs: list[Graph], kind: str, seed: int, tries: int = 10) -> tuple
     return None
 
 
+def perturb_many(graphs: list[Graph], kinds: list[str], seed: int) -> tuple[list[Graph], int] | None:
+    """(changed graphs, operators applied): the operators in turn, each on what the one before left; those that cannot apply are passed
+    over. None if none applies."""
+    done = 0
+    for kind in kinds:
+        if (got := perturb(graphs, kind, seed + done)) is not None:
+            graphs, done = got[0], done + 1
+    return (graphs, done) if done else None
+
+
 def relabel(graphs: list[Graph], mapping: dict[str, str]) -> list[Graph]:
     """With names replaced by a mapping; gateways keep theirs."""
     out = []

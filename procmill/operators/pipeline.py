@@ -169,6 +169,34 @@ def mutants(df: DataFrame, keys: Sequence[str], text: str, form: str, seed: int
     return expand(df, keys, [text], f, "operator string, seed int, xml string")
 
 
+def cases(df: DataFrame, keys: Sequence[str], text: str, form: str, seed: int = 1, dose: int = 3) -> DataFrame:
+    """(keys, kind, n_defects, xml): each model intact, once perturbed by every operator that applies, `dose` times by different
+    operators, and with its labels in other letters and order of words (a paraphrase, no defect)."""
+    def f(t):
+        gs = [g.inner() for g in G.graphs_of(t, form)]
+        if not gs:
+            return []
+        out = [("intact", 0, codecs.to_xml(gs))]
+        out += [(k, 1, codecs.to_xml(got[0])) for k in codecs.OPERATORS if (got := codecs.perturb(gs, k, seed))]
+        if (many := codecs.perturb_many(gs, list(codecs.OPERATORS), seed)) and many[1] >= dose:
+            out.append(("triple", dose, codecs.to_xml(codecs.perturb_many(gs, _first_that_apply(gs, dose, seed), seed)[0])))
+        names = {n.name for g in gs for n in g.nodes.values() if n.name}
+        out.append(("paraphrase", 0, codecs.to_xml(codecs.relabel(gs, {x: " ".join(reversed(x.upper().split())) for x in names}))))
+        return out
+
+    return expand(df, keys, [text], f, "kind string, n_defects int, xml string")
+
+
+def _first_that_apply(gs, dose: int, seed: int) -> list[str]:
+    kinds: list[str] = []
+    for k in codecs.OPERATORS:
+        if (got := codecs.perturb_many(gs, [*kinds, k], seed)) and got[1] == len(kinds) + 1:
+            kinds.append(k)
+        if len(kinds) == dose:
+            break
+    return kinds
+
+
 def compression(df: DataFrame, keys: Sequence[str], xml: str, program: str) -> DataFrame:
     """(keys, xml_tokens, dsl_tokens, ratio): sizes of both forms, the XML without its diagram."""
     def f(x, p):

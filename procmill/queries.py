@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from procmill.operators import nested, references as R
-from procmill.plans import codecs, graph, relational, statistics, streams, text
+from procmill.plans import codecs, graph, relational, statistics, streams, text, validation
 from procmill.session import ship, table
 
 
@@ -86,6 +86,6 @@ _OWN_SQL = {
 FROM refs r LEFT JOIN gone g ON r.target = g.target AND r.key = g.key WHERE r.key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM have h WHERE h.target = r.target AND h.key = r.key) GROUP BY ALL""",
 }
 
-PLANS = (relational, statistics, graph, codecs, text, streams)
+PLANS = (relational, statistics, validation, graph, codecs, text, streams)
 QUERIES = _OWN | {k: f for m in PLANS for k, f in m.QUERIES.items()}
 SQL = _OWN_SQL | {k: q for m in PLANS for k, q in m.SQL.items()}
