@@ -101,6 +101,14 @@ def compared(df: DataFrame, keys: Sequence[str], reference: str, candidate: str,
     return expand(df, keys, [reference, candidate], f, _COMPARED)
 
 
+def compared_at(df: DataFrame, keys: Sequence[str], reference: str, candidate: str, thresholds: Sequence[float], ref_form: str = "xml", cand_form: str = "xml") -> DataFrame:
+    """(keys, threshold, df_f1): direct-follows F1 under alignments at several label thresholds, from one reading of each text."""
+    def f(r, c):
+        return list(G.f1_at(r, c, thresholds, ref_form, cand_form))
+
+    return expand(df, keys, [reference, candidate], f, "threshold double, df_f1 double")
+
+
 def of_edges(df: DataFrame, keys: Sequence[str], graph: str, kinds: dict[str, str], f: Callable, schema: str) -> DataFrame:
     """f's rows of one graph per row, given as JSON {"nodes": [name], "edges": [[name, name]]}; names are ids, tasks but for `kinds`."""
     def run(text):

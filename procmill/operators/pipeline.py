@@ -118,6 +118,23 @@ def dsl_to_xml(df: DataFrame, keys: Sequence[str], text: str, seconds: float = 3
     return expand(df, keys, [text], staged([("transpile", _Splat(_compile)), ("emit", _emit), ("check", _sound)], seconds), _FAILED)
 
 
+def chain(df: DataFrame, keys: Sequence[str], text: str, seconds: float = 30.0) -> DataFrame:
+    """(keys, status, df_exact, df_f1, nodes_match, error_...): JSON to program to XML and the XML against the JSON, in one pass that gives
+    only the small row."""
+    first, second = staged([("convert", _read), ("write", _write), ("parse", _checked)], seconds), staged([("transpile", _Splat(_compile)), ("emit", _emit), ("check", _sound)], seconds)
+
+    def f(t):
+        status, program, _, stage, kind, message, _ = first(t)[0]
+        if status == "succeeded":
+            status, xml, _, stage, kind, message, _ = second(program)[0]
+        if status != "succeeded":
+            return [(status, None, None, None, stage, kind, message)]
+        c = G.compare(t, xml, "json", "xml")
+        return [(status, c["df_exact"], c["df_f1"], c["nodes_match"], None, None, None)]
+
+    return expand(df, keys, [text], f, "status string, df_exact int, df_f1 double, nodes_match int, error_stage string, error_type string, error_message string")
+
+
 class _Splat:
     """Keeps a stage's pair as its result instead of reading it as (result, warnings)."""
 

@@ -181,10 +181,29 @@ def islands(df: DataFrame, c: str, keys: Sequence[str], order: Sequence[str], na
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
-def numbered_names(c: str, keys: Sequence[str], order: Sequence[str]) -> Column:
-    """The name itself where it comes first, name_2, name_3, ... after."""
-    n = F.row_number().over(W.partitionBy(*keys, c).orderBy(*order))
-    return F.when(n == 1, F.col(c)).otherwise(F.concat_ws("_", c, n.cast("string")))
+def first_wins(df: DataFrame, c: str, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with a name of its own for every row of the keys: the first row of a name keeps it, the others get _2, _3, ... without the
+    numbers under which the name is there already."""
+    k = list(keys)
+    base, number = F.regexp_extract(c, r"(?s)^(.*)_(\d{1,9})$", 1), F.regexp_extract(c, r"(?s)^(.*)_(\d{1,9})$", 2)
+    taken = df.where(number != "").select(*k, base.alias(c), number.cast("int").alias("_t")).groupBy(*k, c).agg(F.collect_set("_t").alias("_taken"))
+    n = F.row_number().over(W.partitionBy(*k, c).orderBy(*order))
+    out = df.withColumn("_n", n).join(taken, [*k, c], "left")
+    held = F.coalesce("_taken", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(2), F.col("_n") + F.size(held) + 1), held), F.col("_n") - 2)
+    return out.withColumn(name, F.when(F.col("_n") == 1, F.col(c)).otherwise(F.concat_ws("_", c, free.cast("string")))).select(*df.columns, name)
+
+
+def matched_one_to_one(scores: DataFrame, a: str, b: str, score: str, n_a: int, n_b: int) -> DataFrame:
+    """(a, b, score): each a with its best b (ties by name), which must be the best of no other and leave nobody out; else ValueError.
+
+    For lists of files and names, which a report lists: the check counts, it collects nothing.
+    """
+    best_of = best(scores, [a], score, [b]).select(a, b, score)
+    n = best_of.agg(F.count("*").alias("n"), F.countDistinct(b).alias("m")).first()
+    if (n["n"], n["m"]) != (n_a, n_b):
+        raise ValueError(f"no bijection: {n['n']} of {n_a} matched to {n['m']} of {n_b}")
+    return best_of
 
 
 def group_split(df: DataFrame, group: str, fraction: float) -> DataFrame:

@@ -36,9 +36,7 @@ def transpile_json_dsl(spark, d):
 @query()
 def transpile_json_dsl_xml(spark, d):
     """Both stages, and the XML's direct follows against the JSON's."""
-    a = P.json_to_dsl(_models(spark, d), ["id", "output_json"], "output_json").where("status = 'succeeded'").select("id", "output_json", F.col("output").alias("program"))
-    b = P.dsl_to_xml(a, ["id", "output_json"], "program")
-    return G.compared(b.where("status = 'succeeded'"), ["id", "status"], "output_json", "output", "json", "xml").select("id", "status", "df_exact", "df_f1", "nodes_match").distinct()
+    return P.chain(_models(spark, d), ["id"], "output_json").where("status = 'succeeded'").select("id", "status", "df_exact", "df_f1", "nodes_match").distinct()
 
 
 @query()
@@ -54,7 +52,7 @@ def parse_programs(spark, d):
 
 @query()
 def layout_nodes(spark, d):
-    return P.layouts(table(spark, d, "samples").where("bpmn_json is not null").dropDuplicates(["id"]), ["id"], "bpmn_json", "json")
+    return P.layouts(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").distinct()
 
 
 @query()
@@ -73,5 +71,5 @@ def perturbed_models(spark, d):
 
 @query()
 def compression_ratio(spark, d):
-    c = P.compression(table(spark, d, "samples").dropDuplicates(["id"]), ["id", "source"], "xml", "dsl")
+    c = P.compression(table(spark, d, "samples"), ["id", "source"], "xml", "dsl").distinct()
     return S.mean_ratio(c, "xml_tokens", "dsl_tokens", ["source"]).select("source", "n", *[F.round(x, 9).alias(x) for x in ("mean_ratio", "median_ratio", "reduction")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from procmill.operators import graphs as G
-from procmill.plans.model_sql import FOLLOWS, STRUCTURE, models
+from procmill.plans.model_sql import FOLLOWS, STRUCTURE, models, xml_models
 from procmill.operators import relational as O
 from procmill.session import table
 
@@ -42,7 +42,7 @@ def dfg_models(spark, d):
     return G.follows(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").distinct()
 
 
-@query()
+@query(f"WITH RECURSIVE {xml_models('gold_models', 'gold_xml', 'sample_id, variant')}, {FOLLOWS} SELECT sample_id, variant, a, b, CAST(n AS INTEGER) AS n FROM (SELECT g.sample_id, g.variant, f.rid, a.label AS a, b.label AS b, count(*) AS n FROM f JOIN act a ON a.rid = f.rid AND a.no = f.no AND a.id = f.a JOIN act b ON b.rid = f.rid AND b.no = f.no AND b.id = f.b JOIN g ON g.rid = f.rid GROUP BY ALL)")
 def dfg_gold(spark, d):
     return G.follows(table(spark, d, "gold_models"), ["sample_id", "variant"], "gold_xml", "xml")
 
@@ -73,14 +73,17 @@ def model_structure(spark, d):
     return model_checks(spark, d).drop("n_loops", "n_warnings").distinct()
 
 
-@query()
+@query(f"""WITH RECURSIVE {models('samples', 'bpmn_json')}, ek AS (SELECT *, row_number() OVER () AS br FROM e), fk AS (SELECT n.rid, n.no, n.id AS fork, count(*) AS ways FROM n JOIN e ON e.rid = n.rid AND e.no = n.no AND e.s = n.id WHERE n.kind LIKE '%Gateway' GROUP BY ALL HAVING count(*) > 1),
+b(rid, no, fork, br, x, lvl) AS (SELECT fk.rid, fk.no, fk.fork, ek.br, ek.t, 0 FROM fk JOIN ek ON ek.rid = fk.rid AND ek.no = fk.no AND ek.s = fk.fork UNION SELECT b.rid, b.no, b.fork, b.br, e.t, b.lvl + 1 FROM b JOIN e ON e.rid = b.rid AND e.no = b.no AND e.s = b.x WHERE e.t <> b.fork AND b.lvl < 60),
+m AS (SELECT rid, no, fork, br, x, min(lvl) AS lvl FROM b WHERE x <> fork GROUP BY ALL), c AS (SELECT m.rid, m.no, m.fork, m.x, max(lvl) AS far, count(*) AS met FROM m GROUP BY ALL), best AS (SELECT c.rid, c.no, c.fork, arg_min(c.x, (far, c.x)) AS join_id FROM c JOIN fk ON fk.rid = c.rid AND fk.no = c.no AND fk.fork = c.fork AND fk.ways = c.met GROUP BY ALL)
+SELECT DISTINCT g.key AS id, CAST(fk.no - 1 AS INTEGER) AS process_no, fk.fork, best.join_id FROM fk JOIN g ON g.rid = fk.rid AND g.no = fk.no LEFT JOIN best ON best.rid = fk.rid AND best.no = fk.no AND best.fork = fk.fork""")
 def join_points(spark, d):
     return G.join_points(table(spark, d, "samples").where("bpmn_json is not null"), ["id"], "bpmn_json", "json").distinct()
 
 
 def _topology(spark, d):
-    s = table(spark, d, "samples").where("bpmn_json is not null and xml is not null").dropDuplicates(["id"])
-    return G.compared(s, ["id", "source"], "bpmn_json", "xml", "json", "xml")
+    s = table(spark, d, "samples").where("bpmn_json is not null and xml is not null")
+    return G.compared(s, ["id", "source"], "bpmn_json", "xml", "json", "xml").distinct()  # repeats go after the work: texts are not shuffled
 
 
 @query()
@@ -106,6 +109,15 @@ def expert_agreement(spark, d):
     return _gold_pairs(spark, d).select("sample_id", "i", "j", "df_f1", "df_strict_f1", "label_share")
 
 
+@query(f"""WITH RECURSIVE {xml_models('gold_models', 'gold_xml', 'sample_id, variant')}, {FOLLOWS}, bag AS (SELECT f.rid, a.label AS a, b.label AS b, count(*) AS n FROM f JOIN act a ON a.rid = f.rid AND a.no = f.no AND a.id = f.a JOIN act b ON b.rid = f.rid AND b.no = f.no AND b.id = f.b GROUP BY ALL),
+sz AS (SELECT g.rid, sample_id, variant, coalesce(sum(n), 0) AS n FROM g LEFT JOIN bag ON bag.rid = g.rid GROUP BY ALL), pr AS (SELECT x.sample_id, x.variant AS i, y.variant AS j, x.n AS nc, y.n AS nr, (SELECT coalesce(sum(least(p.n, q.n)), 0) FROM bag p JOIN bag q ON p.a = q.a AND p.b = q.b WHERE p.rid = x.rid AND q.rid = y.rid) AS both FROM sz x JOIN sz y ON x.sample_id = y.sample_id AND x.variant <> y.variant),
+s AS (SELECT *, CASE WHEN nc > 0 THEN both / nc WHEN nr = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN both / nr WHEN nc = 0 THEN 1.0 ELSE 0.0 END AS r FROM pr)
+SELECT sample_id, i, j, round(p, 9) AS df_strict_precision, round(r, 9) AS df_strict_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS df_strict_f1, CAST(nr AS INTEGER) AS df_ref_size, CAST(nc AS INTEGER) AS df_cand_size FROM s""")
+def strict_agreement(spark, d):
+    """Reference models of an item against each other without alignment of labels."""
+    return _gold_pairs(spark, d).select("sample_id", "i", "j", *[F.round(c, 9).alias(c) for c in ("df_strict_precision", "df_strict_recall", "df_strict_f1")], "df_ref_size", "df_cand_size")
+
+
 @query()
 def human_ceiling(spark, d):
     """Per item, the mean over its models of the best F1 below 1 against the others, 0 without any."""
@@ -133,11 +145,8 @@ def alignment_thresholds(spark, d):
     """Mean F1 of reference pairs at several label thresholds."""
     g = table(spark, d, "gold_models").select("sample_id", "variant", "gold_xml")
     p = g.select("sample_id", F.col("variant").alias("i"), F.col("gold_xml").alias("x")).join(g.select("sample_id", F.col("variant").alias("j"), F.col("gold_xml").alias("y")), "sample_id").where("i < j")
-    out = None
-    for least in (0.5, 0.4, 0.3, 0.2, 0.1, 0.01):
-        one = G.compared(p, ["sample_id", "i", "j"], "y", "x", least=least).agg(F.lit(least).alias("threshold"), F.count("*").alias("n"), F.round(F.avg("df_f1"), 9).alias("mean_f1"))
-        out = one if out is None else out.union(one)
-    return out
+    f = G.compared_at(p, ["sample_id", "i", "j"], "y", "x", (0.5, 0.4, 0.3, 0.2, 0.1, 0.01))
+    return f.groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.avg("df_f1"), 9).alias("mean_f1"))
 
 
 # ---- traces ----

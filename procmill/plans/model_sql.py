@@ -66,3 +66,19 @@ st AS (SELECT rid, no, CASE WHEN n_starts = 1 THEN s1 WHEN n_starts > 1 THEN coa
 re(rid, no, id) AS (SELECT rid, no, start FROM st WHERE start IS NOT NULL UNION SELECT i.rid, i.no, i.t FROM re JOIN i ON i.rid = re.rid AND i.no = re.no AND i.s = re.id),
 cp(rid, no, a, b) AS (SELECT rid, no, id, id FROM n UNION SELECT cp.rid, cp.no, cp.a, CASE WHEN i.s = cp.b THEN i.t ELSE i.s END FROM cp JOIN i ON i.rid = cp.rid AND i.no = cp.no AND (i.s = cp.b OR i.t = cp.b)),
 cm AS (SELECT rid, no, count(DISTINCT least_id) AS n_components FROM (SELECT rid, no, a, min(b) AS least_id FROM cp GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _attribute(name: str) -> str:
+    one = lambda q: rf"regexp_extract(tag, '\s{name}\s*=\s*{q}([^{q}]*){q}', 1)"
+    return f"coalesce(nullif({one(chr(34))}, ''), {one(chr(39) * 2)})"
+
+
+def xml_models(table: str, text: str, keys: str) -> str:
+    """Expressions g, n and e as in `models`, of well-formed XML texts without entities: one process (no 1) for each row with these keys."""
+    return rf"""g AS (SELECT row_number() OVER () AS rid, 1 AS no, {keys}, regexp_replace({text}, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>', '', 'g') AS x FROM {table}),
+tg0 AS (SELECT rid, unnest(regexp_extract_all(x, '(?s)<[A-Za-z_][^<>]*>')) AS tag, generate_subscripts(regexp_extract_all(x, '(?s)<[A-Za-z_][^<>]*>'), 1) AS pos FROM g),
+tg AS (SELECT rid, pos, regexp_extract(tag, '^<(?:[\w.-]+:)?([\w.-]+)', 1) AS kind, {_attribute('id')} AS id, {_attribute('name')} AS name, {_attribute('sourceRef')} AS s, {_attribute('targetRef')} AS t FROM tg0),
+e AS (SELECT rid, 1 AS no, pos, s, t FROM tg WHERE kind = 'sequenceFlow' AND s <> '' AND t <> ''), ends AS (SELECT rid, s AS id FROM e UNION SELECT rid, t FROM e),
+c0 AS (SELECT *, CASE WHEN kind LIKE '%Gateway%' THEN NULL WHEN regexp_matches(kind, '^(?i)(start|end|(intermediate)?(catch|throw))[A-Za-z]*Event$') THEN 'event:' || lower(regexp_extract(kind, '^(?i)(?:intermediate)?(start|end|catch|throw)', 1)) WHEN kind IN ('subProcess', 'callActivity', 'transaction', 'adHocSubProcess') THEN 'subprocess' WHEN kind = 'task' OR kind LIKE '%Task' THEN 'task' END AS cat FROM tg WHERE id <> '' AND kind NOT IN ('sequenceFlow', 'lane', 'process')),
+n1 AS (SELECT c0.rid, 1 AS no, c0.id, pos, kind, name, CASE WHEN cat IS NULL AND kind NOT LIKE '%Gateway%' THEN 'activity' ELSE cat END AS cat FROM c0 LEFT JOIN ends ON ends.rid = c0.rid AND ends.id = c0.id WHERE cat IS NOT NULL OR kind LIKE '%Gateway%' OR ends.id IS NOT NULL),
+n AS (SELECT *, CASE WHEN cat IS NOT NULL THEN {_LABEL} END AS label FROM n1)"""

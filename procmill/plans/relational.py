@@ -295,7 +295,7 @@ def islands(spark, d):
 
 @query("SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '_' || n END AS slug FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)")
 def first_wins_numbering(spark, d):
-    return _t(spark, d, "documents").select("doc_id", O.numbered_names("source", ["lang"], ["doc_id"]).alias("slug"))
+    return O.first_wins(_t(spark, d, "documents").select("doc_id", "lang", "source"), "source", ["lang"], ["doc_id"], "slug").select("doc_id", "slug")
 
 
 @query("""WITH g AS (SELECT source, count(*) AS n, sha1(source) AS h FROM documents GROUP BY source), r AS (SELECT *, sum(n) OVER (ORDER BY h, source ROWS UNBOUNDED PRECEDING) AS run FROM g)

@@ -8,7 +8,7 @@ from procmill.operators import graphs as G
 from procmill.operators import pipeline as P
 from procmill.operators import statistics as S
 from procmill.operators import validation as V
-from procmill.plans.statistics import _BOOT, _EVAL, _PAIRED, _RANKED, TIMES, _eval, _pairs
+from procmill.plans.statistics import _BOOT, _EVAL, _P, _PAIRED, _RANKED, TIMES, _eval, _pairs
 from procmill.session import table
 
 QUERIES: dict = {}
@@ -112,10 +112,6 @@ def mean_ratio_interval(spark, d):
     return _rounded(V.ratio_interval(x, "x", "y", "item", TIMES, 42), "n", digits=6)
 
 
-#: The two-sided p of a normal z: the series of the error function, to 0 beyond 5.5.
-_P = "CASE WHEN z >= 5.5 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(greatest(z / sqrt(2), 1e-300)) - lgamma(j + 1)) / (2 * j + 1)))) END"
-
-
 @query(f"""WITH {_EVAL}, {_PAIRED}, {_RANKED}, {_BOOT.format('avg(k.d)')}, ci AS (SELECT min(CASE WHEN n = 250 THEN s END) AS low, min(CASE WHEN n = 9749 THEN s END) AS high FROM sr),
 w AS (SELECT count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r), z AS (SELECT abs(wp - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM w), pv AS (SELECT {_P} AS p FROM z), m2 AS (SELECT count(d) AS n, avg(d) AS diff FROM pr)
 SELECT n, round(diff, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, CASE WHEN low > -0.01 AND high < 0.01 THEN 'equivalent' WHEN low > 0.01 THEN 'superior' WHEN high < -0.01 THEN 'inferior' ELSE 'inconclusive' END AS verdict FROM m2, ci, pv""".replace("z AS (SELECT abs", "zz AS (SELECT abs").replace("FROM z), m2", "FROM zz), m2"))

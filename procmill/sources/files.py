@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from procmill.functions import text as X
+from procmill.operators.statistics import quantiles
 
 NAME = r"([^/]+)$"
 
@@ -127,9 +128,14 @@ def write_csv(df: DataFrame, path: str, series: str | None = None) -> None:
     (w.partitionBy(series) if series else w).csv(path)
 
 
-def manifest(df: DataFrame, label: str, held_out: DataFrame, key: str) -> DataFrame:
-    """One row of JSON: rows, keys and greatest text length of an export. Fails when a held-out key is in it."""
+def manifest(df: DataFrame, label: str, held_out: DataFrame, key: str, text: str | None = None) -> DataFrame:
+    """One row of JSON: rows and keys of an export, and of its texts the lengths at the quartiles and the greatest. Fails when a held-out
+    key is in it."""
     leaked = df.join(held_out.select(key), key, "left_semi").agg(F.count("*").alias("n_leaked"))
     said = df.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"))
     one = said.join(F.broadcast(leaked))  # one row each
-    return one.select(F.when(F.col("n_leaked") > 0, F.raise_error(F.concat(F.lit("held-out rows in the export: "), F.col("n_leaked").cast("string")))).otherwise(F.to_json(F.struct(F.lit(label).alias("label"), "n_rows", "n_keys"))).alias("manifest"))
+    more = []
+    if text:
+        q = quantiles(df.select(F.length(text).alias("n_chars")), [], "n_chars", [0.25, 0.5, 0.75, 1.0])
+        one, more = one.join(F.broadcast(q)), [F.struct("q25", "q50", "q75", F.col("q100").alias("max")).alias("n_chars")]
+    return one.select(F.when(F.col("n_leaked") > 0, F.raise_error(F.concat(F.lit("held-out rows in the export: "), F.col("n_leaked").cast("string")))).otherwise(F.to_json(F.struct(F.lit(label).alias("label"), "n_rows", "n_keys", *more))).alias("manifest"))
