@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from procmill.operators import graphs as G
+from procmill.operators import pipeline as P
 from procmill.plans.model_sql import FOLLOWS, STRUCTURE, models, xml_models
 from procmill.operators import relational as O
 from procmill.session import table
@@ -52,9 +53,12 @@ def node_category_bag(spark, d):
     return G.node_categories(table(spark, d, "json_bpmn_generations").where("output_json is not null"), ["id"], "output_json", "json").distinct()
 
 
-@query()
+@query("SELECT o_orderkey, a, b, 1 AS n FROM (SELECT o_orderkey, o_orderstatus AS a, coalesce(nullif(o_orderpriority, '5-LOW'), 'p2') AS b FROM orders UNION ALL SELECT o_orderkey, coalesce(nullif(o_orderpriority, '5-LOW'), 'p2'), '<throw>' FROM orders)")
 def message_bag(spark, d):
-    return G.messages(table(spark, d, "gold_models"), ["sample_id", "variant"], "gold_xml")
+    """Messages of one small collaboration for each order: from its status to its priority (unnamed if low, so it goes by its id), and on to an event without a name."""
+    name = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise(F.concat(F.lit(' name="'), "o_orderpriority", F.lit('"')))
+    xml = F.concat(F.lit('<c><participant id="p1" name="'), "o_orderstatus", F.lit('"/><participant id="p2"'), name, F.lit('/><process><intermediateThrowEvent id="t"/></process><messageFlow sourceRef="p1" targetRef="p2"/><messageFlow sourceRef="p2" targetRef="t"/><messageFlow sourceRef="p2"/></c>'))
+    return G.messages(table(spark, d, "orders").select("o_orderkey", xml.alias("xml")), ["o_orderkey"], "xml")
 
 
 @query()
@@ -110,25 +114,33 @@ def expert_agreement(spark, d):
 
 
 @query(f"""WITH RECURSIVE {xml_models('gold_models', 'gold_xml', 'sample_id, variant')}, {FOLLOWS}, bag AS (SELECT f.rid, a.label AS a, b.label AS b, count(*) AS n FROM f JOIN act a ON a.rid = f.rid AND a.no = f.no AND a.id = f.a JOIN act b ON b.rid = f.rid AND b.no = f.no AND b.id = f.b GROUP BY ALL),
-sz AS (SELECT g.rid, sample_id, variant, coalesce(sum(n), 0) AS n FROM g LEFT JOIN bag ON bag.rid = g.rid GROUP BY ALL), pr AS (SELECT x.sample_id, x.variant AS i, y.variant AS j, x.n AS nc, y.n AS nr, (SELECT coalesce(sum(least(p.n, q.n)), 0) FROM bag p JOIN bag q ON p.a = q.a AND p.b = q.b WHERE p.rid = x.rid AND q.rid = y.rid) AS both FROM sz x JOIN sz y ON x.sample_id = y.sample_id AND x.variant <> y.variant),
-s AS (SELECT *, CASE WHEN nc > 0 THEN both / nc WHEN nr = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN both / nr WHEN nc = 0 THEN 1.0 ELSE 0.0 END AS r FROM pr)
+sz AS (SELECT g.rid, sample_id, variant, coalesce(sum(n), 0) AS n FROM g LEFT JOIN bag ON bag.rid = g.rid GROUP BY ALL), pr AS (SELECT x.sample_id, x.variant AS i, y.variant AS j, x.n AS nc, y.n AS nr, (SELECT coalesce(sum(least(p.n, q.n)), 0) FROM bag p JOIN bag q ON p.a = q.a AND p.b = q.b WHERE p.rid = x.rid AND q.rid = y.rid) AS met FROM sz x JOIN sz y ON x.sample_id = y.sample_id AND x.variant <> y.variant),
+s AS (SELECT *, CASE WHEN nc > 0 THEN met / nc WHEN nr = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN met / nr WHEN nc = 0 THEN 1.0 ELSE 0.0 END AS r FROM pr)
 SELECT sample_id, i, j, round(p, 9) AS df_strict_precision, round(r, 9) AS df_strict_recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS df_strict_f1, CAST(nr AS INTEGER) AS df_ref_size, CAST(nc AS INTEGER) AS df_cand_size FROM s""")
 def strict_agreement(spark, d):
     """Reference models of an item against each other without alignment of labels."""
     return _gold_pairs(spark, d).select("sample_id", "i", "j", *[F.round(c, 9).alias(c) for c in ("df_strict_precision", "df_strict_recall", "df_strict_f1")], "df_ref_size", "df_cand_size")
 
 
+def _case_pairs(spark, d):
+    """An item's primary reference and its perturbed forms, as if several experts had drawn it, each against each other."""
+    g = table(spark, d, "gold_models").where("variant = 'primary'")
+    c = P.cases(g, ["sample_id"], "gold_xml", "xml").distinct()
+    a, b = c.select("sample_id", F.col("kind").alias("i"), F.col("xml").alias("x")), c.select("sample_id", F.col("kind").alias("j"), F.col("xml").alias("y"))
+    return G.compared(a.join(b, "sample_id").where("i <> j"), ["sample_id", "i", "j"], "y", "x")  # at most one form for each operator
+
+
 @query()
 def human_ceiling(spark, d):
     """Per item, the mean over its models of the best F1 below 1 against the others, 0 without any."""
-    per = _gold_pairs(spark, d).groupBy("sample_id", "i").agg(F.coalesce(F.max(F.when(F.col("df_f1") < 1, F.col("df_f1"))), F.lit(0.0)).alias("best"))
+    per = _case_pairs(spark, d).groupBy("sample_id", "i").agg(F.coalesce(F.max(F.when(F.col("df_f1") < 1, F.col("df_f1"))), F.lit(0.0)).alias("best"))
     return per.groupBy("sample_id").agg(F.count("*").alias("n_models"), F.round(F.avg("best"), 9).alias("ceiling"))
 
 
 @query()
 def label_ceiling(spark, d):
     """Per model with another of F1 below 1: the label share of the best such pair, ties to the first variant."""
-    p = O.latest(_gold_pairs(spark, d).where("df_f1 < 1"), ["sample_id", "i"], [F.col("df_f1").desc(), F.col("j")])
+    p = O.latest(_case_pairs(spark, d).where("df_f1 < 1"), ["sample_id", "i"], [F.col("df_f1").desc(), F.col("j")])
     return p.select("sample_id", "i", "j", F.round("label_share", 9).alias("label_share"))
 
 
