@@ -66,7 +66,7 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), digits: int = 9) ->
     ups = d.groupBy(*k, "_a").agg(F.sum("_up").alias("_p"))
     x = r.join(ups, same(r, ups, [*k, "_a"])).select(*[r[c] for c in k], "n", "_r", "_p")  # a row for each distinct size, however many pairs share it
     n = F.col("n")
-    return x.groupBy(*k).agg(F.sum("n").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("w_plus"), F.sum((n - F.col("_p")) * F.col("_r")).alias("w_minus"), F.sum(n * (n * n - 1)).alias("ties"))
+    return x.groupBy(*k).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("w_plus"), F.sum((n - F.col("_p")) * F.col("_r")).alias("w_minus"), F.sum(n * (n * n - 1)).alias("ties"))
 
 
 def signed_rank_p(n: int, w_plus: float, ties: float) -> float:

@@ -1,6 +1,8 @@
 """The shared folder, written tables, and dealing out small scans."""
 
 import os
+import shutil
+import uuid
 
 import pytest
 
@@ -12,11 +14,12 @@ def test_written_tables(spark):
     t = S.materialize(df, "x")
     assert t.dtypes == df.dtypes and t.count() == 10 and "procmill" in t.inputFiles()[0]
     folder = S.own_folder(spark).replace("file://", "")
-    other = os.path.join(os.path.dirname(folder), "another-session")
+    other = os.path.join(os.path.dirname(folder), f"another-{uuid.uuid4().hex}")
     os.makedirs(os.path.join(other, "x-1"))
     assert os.listdir(folder) and os.path.dirname(folder) == os.path.join(S.shared_folder(spark).replace("file://", ""), "procmill")
     S.clear_tables(spark)
     assert not os.listdir(folder) and os.path.exists(os.path.join(other, "x-1")), "another session's tables stay"
+    shutil.rmtree(other)
     assert S.materialize(df.limit(0), "y").count() == 0
 
 

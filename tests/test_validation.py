@@ -55,7 +55,7 @@ def test_manifest_says_how_long_texts_are(spark):
 def test_reliability(spark):
     rows = [("p", "a", 1, 1.0, 2.0), ("p", "a", 2, 3.0, 2.0), ("p", "b", 1, 4.0, 5.0), ("q", "c", 1, 0.0, 1.0), ("q", "c", 2, 0.4, 1.0), ("q", "d", 1, 5.0, 0.0), ("q", "e", 1, None, 3.0)]
     r = V.reliability(spark.createDataFrame(rows, "c string, t string, r int, s double, e double"), "c", "t", "r", "s", "e", (1, 2)).first()
-    assert (r.n_targets, r.n_clusters, r.spread_share, r.n_within) == (4, 2, 0.5, 2) and r.mae == pytest.approx((0 + 1 + 0.8 + 5) / 4) and r.within_rho == 0.0 and r.rho == pytest.approx(0.2) and r.rho_1_2 == pytest.approx(1.0)
+    assert (r.n_targets, r.n_clusters, r.spread_share, r.n_within) == (4, 2, 0.5, 2) and r.mae == pytest.approx((0 + 1 + 0.8 + 5) / 4) and r.within_rho == 0.0 and r.rho == pytest.approx(-0.2) and r.rho_1_2 == pytest.approx(1.0)
 
 
 def test_acceptance(spark):
