@@ -34,12 +34,28 @@ def byte_letters() -> list[str]:
     return [out[b] if b in out else chr(next(free)) for b in range(256)]
 
 
+def unlike(whole: dict) -> str | None:
+    """What in a tokenizer's file differs from byte-level pairs over PATTERN without any normalisation; None if nothing does."""
+    pre, model = whole.get("pre_tokenizer") or {}, whole.get("model") or {}
+    steps = pre.get("pretokenizers", [pre])
+    if model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
+        return "its model"
+    if whole.get("normalizer"):
+        return "a normalizer"
+    if [s.get("type") for s in steps] != ["ByteLevel"] or steps[0].get("add_prefix_space") or not steps[0].get("use_regex", True):
+        return "its pre-tokenizer"
+    return "added tokens that are no special ones" if any(not t.get("special") for t in whole.get("added_tokens") or []) else None
+
+
 class Encoder:
     """Encodes texts to ids; the caches hold at most `most` pieces."""
 
     def __init__(self, path: str = TOKENIZER, most: int = 500_000, longest: int = 200):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        if (said := unlike(whole)) is not None:
+            raise ValueError(f"{path} is no tokenizer of the kind that is built here: {said}")
         vocab = model["vocab"]
         self.letters = byte_letters()
         self.first = [vocab[c] for c in self.letters]
