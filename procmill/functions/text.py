@@ -218,17 +218,23 @@ def first_object(text: str | None) -> str | None:
 
 
 def last_object(text: str | None) -> str | None:
-    """The first object from the right that is well-formed, by its opening brace."""
+    """The first object from the right that is well-formed, by its opening brace.
+
+    What stands right of a brace up to the next one is read first: an object that goes on beyond a brace that begins nothing can only be
+    well-formed if that brace stands in a string, so only then all the rest is read. A long answer without any object is read about once.
+    """
     text, d = text or "", json.JSONDecoder()
-    at = text.rfind("{")
+    at, end = text.rfind("{"), len(text)
     while at >= 0:
-        try:
-            v, _ = d.raw_decode(text, at)
-            if isinstance(v, dict):
+        part = text[at:end]
+        inside = len(re.findall(r"""(?<!\\)(?:\\\\)*\"""", part)) % 2 == 1
+        for piece in (part, text[at:]) if inside and end < len(text) else (part,):
+            try:
+                v, _ = d.raw_decode(piece)
                 return json.dumps(v, ensure_ascii=False, sort_keys=True)
-        except (ValueError, RecursionError):
-            pass
-        at = text.rfind("{", 0, at)
+            except (ValueError, RecursionError):
+                pass
+        end, at = at, text.rfind("{", 0, at)
     return None
 
 

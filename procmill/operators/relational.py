@@ -111,11 +111,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def update(old: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Old rows with `columns` taken from changes where a row with equal keys has a value there."""
-    changes = changes.dropDuplicates(list(keys)).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+def update(old: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], stamp: str | None = None, now: Column | None = None) -> DataFrame:
+    """Old rows with `columns` taken from changes where a row with equal keys has a value there. stamp: a column that gets `now` (the
+    current time, if not said) in rows that have changes."""
+    changes = changes.dropDuplicates(list(keys)).select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
     out = old.join(changes, list(keys), "left")
-    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
+    stamped = {stamp: F.when(F.col("_hit"), now if now is not None else F.current_timestamp()).otherwise(F.col(stamp))} if stamp else {}
+    return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else stamped[c].alias(c) if c in stamped else F.col(c) for c in old.columns])
+
+
+def prefixed(c: str, prefix: str) -> Column:
+    """Whether text begins with a prefix, whatever the case of ASCII letters; null is null."""
+    return F.lower(F.substring(c, 1, len(prefix))) == F.lit(prefix.lower())
 
 
 def changed(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

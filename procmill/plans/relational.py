@@ -43,9 +43,9 @@ def admitted_references(spark, d):
     return _t(spark, d, "gold_models").where("score is null or score >= 4.0").select("id", "variant", "score")
 
 
-@query("SELECT id FROM gold_models WHERE lower(gold_xml) LIKE '%messageflow%' OR source_file LIKE 'zenodo%'")
+@query("SELECT id FROM gold_models WHERE lower(gold_xml) LIKE '%messageflow%' OR source_file ILIKE 'zenodo%'")
 def like_filters(spark, d):
-    return _t(spark, d, "gold_models").where(F.lower("gold_xml").contains("messageflow") | F.col("source_file").startswith("zenodo")).select("id")
+    return _t(spark, d, "gold_models").where(F.lower("gold_xml").contains("messageflow") | O.prefixed("source_file", "zenodo")).select("id")
 
 
 @query("""SELECT a.id, a.model FROM (SELECT DISTINCT id, sample_id, model FROM preprocessing_generations) a

@@ -108,6 +108,11 @@ def stage_view(df: DataFrame, source: str, stage: str) -> str:
     return f"{source}__{stage}"
 
 
+def stage_views(spark: SparkSession) -> list[str]:
+    """The names of the temporary views that stage_view has made, in order."""
+    return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary and "__" in t.name)
+
+
 def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Appends history rows; by: version columns that become folders, so slices can be read and replaced alone."""
     df.write.mode("append").partitionBy(*by).parquet(path)

@@ -186,3 +186,32 @@ def test_finished_work_is_not_done_again_after_a_failed_read(spark, tmp_path):
         f.unlink()
     with pytest.raises(Exception):
         go("c")
+
+
+def test_the_last_object_of_long_broken_answers():
+    import time
+
+    plain = lambda t: next((json.dumps(v, ensure_ascii=False, sort_keys=True) for at in range(len(t) - 1, -1, -1) if t[at] == "{" and (v := _read(t, at)) is not None), None)
+
+    def _read(t, at):
+        try:
+            return json.JSONDecoder().raw_decode(t, at)[0]
+        except ValueError:
+            return None
+
+    for t in ('{"a": "use {x} here"} tail', '{"a": {"b": 1}, "c": [', 'x {"q": "a \\" {", "z": 2} {', '{"a": "{\\"in\\": 1}"}', '{}{', "{", '{"a": "}"} "{'):
+        assert X.last_object(t) == plain(t), t
+    t0 = time.time()
+    assert X.last_object('{"a": [1, ' * 20_000) is None and time.time() - t0 < 5
+
+
+def test_views_prefixes_and_stamps(spark):
+    from procmill.operators import relational as O
+
+    df = spark.createDataFrame([("1", "web", "raw", "Zenodo/a"), ("2", "web", "clean", "other"), ("3", None, None, None)], "id string, source string, stage string, path string")
+    S.stage_view(df, "web", "raw"), S.stage_view(df, "web", "clean")
+    assert {"web__clean", "web__raw"} <= set(S.stage_views(spark))
+    assert [r.id for r in df.where(O.prefixed("path", "zenodo/")).collect()] == ["1"]
+    old = df.select("id", "stage", F.lit("old").alias("updated_at"))
+    got = {r.id: (r.stage, r.updated_at) for r in O.update(old, spark.createDataFrame([("2", "done")], "id string, stage string"), ["id"], ["stage"], "updated_at", F.lit("new")).collect()}
+    assert got == {"1": ("raw", "old"), "2": ("done", "new"), "3": (None, "old")}
