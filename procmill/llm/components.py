@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from procmill.session import materialize
 
@@ -24,9 +24,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         # small star: neighbours not larger than the node, and the node, are linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = materialize(small, name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == tuple(now):
+        said = Observation()  # count and sum of the links, taken while they are written
+        e = materialize(small.observe(said, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), name)
+        if before == said.get:
             break
-        before = tuple(now)
+        before = said.get
     return e.select(F.col("u").alias("cls"), F.col("v").alias("root")).union(e.select(F.col("v").alias("cls"), F.col("v").alias("root"))).distinct()

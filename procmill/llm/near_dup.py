@@ -159,8 +159,8 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     stars = materialize(met.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "stars")
     seen = materialize(jaccard_pairs(stars, sets, low), "verified")
     over = F.col("similarity") >= least - 1e-12
-    roots = materialize(components(seen.where(over).select("a", "b")), "roots")
-    who = materialize(_clusters(seen, roots), "clusters")
+    who = materialize(_clusters(seen, components(seen.where(over).select("a", "b"))), "clusters")
+    roots = who.select("cls", "root")
 
     lead = met.select("bucket", "cls").join(who, "cls", "left").select("bucket", F.coalesce("leader", "cls").alias("leader"), F.coalesce("root", "cls").alias("root")).distinct()
     open_ = lead.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket", "n")
