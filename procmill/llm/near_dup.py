@@ -17,7 +17,7 @@ from procmill.llm.components import components
 from procmill.llm.prefix import candidates, prefixes, rarity
 from procmill.llm.sets import Sets, jaccard_pairs, shingle_sets
 from procmill.llm.words import mix
-from procmill.session import materialize
+from procmill.session import drop, drop_shuffles, materialize
 
 #: Places of the permutations, bands times rows of the signature, and the bands that a pair has to share to be compared.
 #: At similarity 0.6 a pair shares fewer than two of 96 bands of 4 rows with probability 2.5e-5; at 0.1, far above that of unrelated
@@ -29,6 +29,8 @@ NEAR = 0.1
 BUCKET = 32
 #: Rows of a bucket that one task sorts, at least; and the sketch that finds larger ones: 8 MB.
 HOT, SKETCH_BITS = 200_000, 20
+#: Pairs of leaders that are counted at once; more are counted in slices, one after another, by their first class.
+AT_ONCE = 50_000_000
 
 
 def _permutation(seed: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def signatures(flat: np.ndarray, ends: np.ndarray, k: int, pi: np.ndarray, sigma
 def _bands(bands: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pi, sigma = _permutation(seed), _permutation(seed + 1)
-        seen: set[bytes] = set()
+        seen: set = set()
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
             keep = []
@@ -112,7 +114,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((k, c, head))
                 last = c
         cols = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "cls", "head"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), b["cls"].type, b["cls"].type))], ["bucket", "cls", "head"])
 
 
 def buckets_met(made: DataFrame) -> DataFrame:
@@ -122,14 +124,15 @@ def buckets_met(made: DataFrame) -> DataFrame:
     head is an aggregate that combines before the shuffle, and its rows meet the head in a join.
     """
     spark = made.sparkSession
+    cls = made.schema["cls"].dataType.simpleString()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in made.select("bucket").mapInArrow(_tally, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).toLocalIterator():  # 2 ** SKETCH_BITS rows at most
         counts[r["at"]] = r["n"]
     limit = max(HOT, 4 * int(counts.mean()))
     if not (counts > limit).any():
-        return made.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, "bucket bigint, cls binary, head binary")
-    marked = made.mapInArrow(_marked(spark.sparkContext.broadcast(counts), limit), "bucket bigint, cls binary, hot boolean")
-    cold = marked.where("not hot").select("bucket", "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, "bucket bigint, cls binary, head binary")
+        return made.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, f"bucket bigint, cls {cls}, head {cls}")
+    marked = made.mapInArrow(_marked(spark.sparkContext.broadcast(counts), limit), f"bucket bigint, cls {cls}, hot boolean")
+    cold = marked.where("not hot").select("bucket", "cls").repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_heads, f"bucket bigint, cls {cls}, head {cls}")
     hot = materialize(marked.where("hot").select("bucket", "cls").distinct(), "hot")
     heads = hot.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("_last")).where("head < _last").select("bucket", "head")
     return cold.union(hot.join(heads, "bucket").select("bucket", "cls", "head"))
@@ -142,6 +145,76 @@ def _clusters(seen: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(near, "cls", "left").select("cls", "root", F.coalesce("_n.a", "cls").alias("leader"), F.coalesce(1 - F.col("_n.similarity"), F.lit(0.0)).alias("far"))
 
 
+def _verified(pairs: DataFrame, sets: Sets, least: float) -> DataFrame:
+    held: list[DataFrame] = []
+    out = materialize(jaccard_pairs(pairs, sets, least, held), "verified")
+    drop(*held)
+    return out
+
+
+def _open(most: int):
+    """Rows (bucket, leader, root) sorted by bucket and leader to (leaders, roots, crowded): the distinct leaders of every bucket with
+    two roots or more, in one row where they are at most `most`, else in rows of a bounded size, marked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, leaders, roots, big, kind = None, [], [], False, None
+        out: list[tuple] = []
+
+        def flush(last: bool):
+            nonlocal leaders, roots, big
+            if big or len(leaders) > 1 and (not last or min(roots) < max(roots)):
+                out.append((leaders, roots, big or len(leaders) > most))
+            big = not last and (big or bool(leaders))
+            leaders, roots = [], []
+
+        def batch():
+            cols = list(zip(*out)) or [()] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, kind, pa.bool_()))], ["leaders", "roots", "crowded"])
+
+        for b in batches:
+            kind = pa.list_(b["leader"].type)
+            keys = b["bucket"].to_numpy()
+            near = np.zeros(len(keys), bool)
+            if len(keys):
+                eq = keys[1:] == keys[:-1]
+                near[1:] |= eq
+                near[:-1] |= eq
+                near[0] = near[-1] = True
+            at = np.flatnonzero(near)
+            for k, c, r in zip(keys[at].tolist(), b["leader"].take(pa.array(at)).to_pylist(), b["root"].take(pa.array(at)).to_pylist()):
+                if k != bucket:
+                    flush(True)
+                    bucket = k
+                elif leaders and leaders[-1] == c:
+                    continue
+                elif len(leaders) >= 1 << 16:
+                    flush(False)  # whether it has other roots is not known yet; pairs of one root are left out later
+                leaders.append(c)
+                roots.append(r)
+            yield batch()
+        flush(True)
+        if out:
+            yield batch()
+
+    return run
+
+
+def _leader_pairs(few: DataFrame, shared: int) -> DataFrame:
+    """(a, b): leaders of different roots that meet in `shared` buckets or more. Pairs are counted in slices, so that the disk holds
+    AT_ONCE of them, however many there are."""
+    n = F.size("leaders").cast("bigint")
+    slices = 1 + (few.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) // AT_ONCE
+    a = few.select("leaders", "roots", F.posexplode("leaders").alias("i", "a"))
+    out = None
+    for k in range(int(slices)):
+        mine = a if slices == 1 else a.where(F.pmod(F.xxhash64("a"), F.lit(int(slices))) == k)
+        both = mine.select("a", F.expr("roots[i]").alias("ra"), F.explode(F.arrays_zip("leaders", "roots")).alias("x")).select("a", "ra", F.col("x.leaders").alias("b"), F.col("x.roots").alias("rb"))
+        part = materialize(both.where("a < b and ra <> rb").groupBy("a", "b").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "met-pairs")
+        out = part if out is None else out.union(part)
+        drop_shuffles(few.sparkSession)
+    return out
+
+
 def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, most: int = BUCKET, seed: int = 1, shared: int = SHARED) -> DataFrame:
     """(cls, root): the components of all links between classes that share at least `shared` buckets, for every class with a link.
 
@@ -154,28 +227,30 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     its own: its leaders go through the exact prefix join.
     """
     low = least - 2 * NEAR
-    made = materialize(sets.rows.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), "bucket bigint, cls binary"), "bands")
+    cls = sets.rows.schema["cls"].dataType.simpleString()
+    made = materialize(sets.classes.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), f"bucket bigint, cls {cls}"), "bands")
     met = materialize(buckets_met(made), "met")
+    drop(made)
     stars = materialize(met.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "stars")
-    seen = materialize(jaccard_pairs(stars, sets, low), "verified")
+    seen = _verified(stars, sets, low)
     over = F.col("similarity") >= least - 1e-12
     who = materialize(_clusters(seen, components(seen.where(over).select("a", "b"))), "clusters")
     roots = who.select("cls", "root")
 
-    lead = met.select("bucket", "cls").join(who, "cls", "left").select("bucket", F.coalesce("leader", "cls").alias("leader"), F.coalesce("root", "cls").alias("root")).distinct()
-    open_ = lead.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("bucket", "n")
-    lead = materialize(lead.join(open_, "bucket"), "leaders")
-    few = lead.where(F.col("n") <= most)
-    side = lambda x: few.select("bucket", F.col("leader").alias(x), F.col("root").alias(f"r{x}"))
-    pairs = side("a").join(side("b"), "bucket").where("a < b and ra <> rb").groupBy("a", "b").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b")
-    crowded = lead.where(F.col("n") > most).select(F.col("leader").alias("cls"), "root").distinct()
+    lead = materialize(met.select("bucket", "cls").join(who, "cls", "left").select("bucket", F.coalesce("leader", "cls").alias("leader"), F.coalesce("root", "cls").alias("root")), "leaders")
+    drop(met)
+    open_ = materialize(lead.repartition("bucket").sortWithinPartitions("bucket", "leader").mapInArrow(_open(most), f"leaders array<{cls}>, roots array<{cls}>, crowded boolean"), "open")
+    drop(lead)
+    pairs = _leader_pairs(open_.where("not crowded"), shared)
+    crowded = open_.where("crowded").select(F.explode(F.arrays_zip("leaders", "roots")).alias("x")).select(F.col("x.leaders").alias("cls"), F.col("x.roots").alias("root")).distinct()
     if not crowded.isEmpty():
         part = materialize(sets.of(crowded), "crowded")
         first = materialize(prefixes(part, low, rarity(part)), "crowded-prefixes")
         end = lambda x: crowded.select(F.col("cls").alias(x), F.col("root").alias(f"r{x}"))
         pairs = pairs.union(candidates(first, first, low, once=True).join(end("a"), "a").join(end("b"), "b").where("ra <> rb").select("a", "b")).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(jaccard_pairs(pairs, sets, low), "verified")
+    drop(open_)
+    more = _verified(pairs, sets, low)
 
     # classes behind leaders that are not linked, but not far from it
     inside = who.select("cls", "leader", "far").union(who.where("cls <> leader").select(F.col("leader").alias("cls"), "leader", F.lit(0.0))).distinct()
@@ -184,7 +259,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     border = seen.union(more).where(~over).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     border = border.select("a", "b", "similarity").join(of("a"), "a", "left").join(of("b"), "b", "left").select("similarity", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"), F.coalesce("fa", F.lit(0.0)).alias("fx"), F.coalesce("fb", F.lit(0.0)).alias("fy"))
     border = border.where((F.col("fx") + F.col("fy") > 0) & (F.col("fx") + F.col("fy") >= least - F.col("similarity") - 1e-9)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-    behind = jaccard_pairs(materialize(border, "border"), sets, least)
+    behind = _verified(materialize(border, "border"), sets, least)
     added = materialize(more.where(over).select("a", "b").union(behind.select("a", "b")), "added")
     if added.isEmpty():
         return roots
@@ -195,9 +270,9 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     return roots.union(new).join(over_roots, "root", "left").select("cls", F.coalesce("_to", "root").alias("root"))
 
 
-def sample_sets(samples: DataFrame, k: int = 3, least_words: int = 20) -> Sets:
+def sample_sets(samples: DataFrame, k: int = 3, least_words: int = 20, numbered: bool = False) -> Sets:
     """Sets of title (null as empty) followed by raw_text, of samples with at least least_words words in raw_text."""
-    return shingle_sets(samples.where("id is not null"), F.col("raw_text"), {"id": F.col("id")}, k, least_words, head=F.col("title"), name="near")
+    return shingle_sets(samples.where("id is not null"), F.col("raw_text"), {"id": F.col("id")}, k, least_words, head=F.col("title"), name="near", numbered=numbered)
 
 
 def groups(samples: DataFrame, least: float = 0.6) -> DataFrame:
@@ -205,23 +280,28 @@ def groups(samples: DataFrame, least: float = 0.6) -> DataFrame:
 
     Null and blank texts and those of fewer than 20 words are in no group. Repeated rows count once. An empty table gives no rows.
     """
-    sets = sample_sets(samples)
+    sets = sample_sets(samples, numbered=True)
     roots = linked(sets, least)
     m = materialize(sets.members, "members")
-    return m.join(roots, "cls", "left").select("id", F.coalesce("root", "cls").alias("root")).distinct()
+    g = materialize(m.join(roots, "cls", "left").select("id", F.coalesce("root", "cls").alias("root")).distinct(), "groups")
+    drop(m, sets.rows)
+    return g
 
 
 def found(samples: DataFrame) -> DataFrame:
     """(id_a, id_b): every two samples of one group. The result itself is quadratic in a group's size, as the problem asks."""
-    g = materialize(groups(samples), "groups")
+    g = groups(samples)
     many = g.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    g = g.join(many, "root", "left_semi")
-    a, b = g.select("root", F.col("id").alias("id_a")), g.select("root", F.col("id").alias("id_b"))
-    return a.join(b, "root").where("id_a < id_b").select("id_a", "id_b").distinct()
+    ids = g.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))  # ids with texts in several groups
+    g = g.join(many, "root", "left_semi").join(ids, "id", "left").select("id", "root", F.coalesce("again", F.lit(False)).alias("again"))
+    a, b = (g.select("root", F.col("id").alias(f"id_{x}"), F.col("again").alias(f"again_{x}")) for x in "ab")
+    pairs = a.join(b, "root").where("id_a < id_b")
+    both = F.col("again_a") & F.col("again_b")  # only these two can meet in more than one group
+    return pairs.where(~both).select("id_a", "id_b").union(pairs.where(both).select("id_a", "id_b").distinct())
 
 
 def group_report(samples: DataFrame) -> DataFrame:
     """One row for each sample in a group of at least two: its group (least id in it) and the group's size."""
-    g = materialize(groups(samples), "groups")
+    g = groups(samples)
     n = g.groupBy("root").agg(F.count("*").alias("n_members"), F.min("id").alias("group_id")).where("n_members > 1")
     return g.join(n, "root").select("id", "group_id", "n_members")

@@ -80,7 +80,7 @@ def prefixes(rows: DataFrame, least: float, counts: np.ndarray, sides: tuple[str
     """(token, cls, n, place, *sides), distinct: the first places of every class's set in the global order."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in sides)
-    return rows.select("cls", "shingles", *sides).mapInArrow(_prefixes(shared, least, list(sides)), f"token bigint, cls binary, n int, place int{kinds}")
+    return rows.select("cls", "shingles", *sides).mapInArrow(_prefixes(shared, least, list(sides)), f"token bigint, cls {rows.schema['cls'].dataType.simpleString()}, n int, place int{kinds}")
 
 
 def candidates(index: DataFrame, probe: DataFrame, least: float, once: bool = False) -> DataFrame:

@@ -22,13 +22,21 @@ class Sets:
 
     rows: DataFrame
     keep: list[str]
+    numbered: bool = False  # cls is a number instead, and only one row of each class has its set
 
     @property
     def members(self) -> DataFrame:
         return self.rows.select("cls", *self.keep).distinct()
 
+    @property
+    def classes(self) -> DataFrame:
+        """(cls, n, shingles), once each where sets are numbered, else as many as there are texts."""
+        return self.rows.where("shingles is not null").select("cls", "n", "shingles")
+
     def of(self, classes: DataFrame) -> DataFrame:
         """(cls, n, shingles) of the classes in `classes`, once each."""
+        if self.numbered:
+            return self.classes.join(classes.select("cls").distinct(), "cls", "left_semi")
         return self.rows.join(classes.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
@@ -64,12 +72,28 @@ def _make(k: int, least_words: int, keep: list[str]):
     return run
 
 
-def shingle_sets(df: DataFrame, text: Column, keep: dict[str, Column], k: int = 3, least_words: int = 20, head: Column | None = None, name: str = "sets") -> Sets:
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes, each in one part only, to numbers: the part and the place of the class in it. Repeated sets become null."""
+    from pyspark import TaskContext
+
+    known: dict[bytes, int] = {}
+    part = TaskContext.get().partitionId() << 32
+    for b in batches:
+        at, new = [], []
+        for c in b["cls"].to_pylist():
+            new.append(c not in known)
+            at.append(part + known.setdefault(c, len(known)))
+        first = pa.array([i if x else None for i, x in enumerate(new)], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), b["n"], b["shingles"].take(first), *[b[c] for c in b.schema.names[3:]]], b.schema.names)
+
+
+def shingle_sets(df: DataFrame, text: Column, keep: dict[str, Column], k: int = 3, least_words: int = 20, head: Column | None = None, name: str = "sets", numbered: bool = False) -> Sets:
     """Sets of runs of k words of the rows of df whose text has at least least_words words (and one run).
 
     head: another text put before it, which doesn't count for least_words; null is empty. keep: columns of the members by their new
     name. Null texts and texts with fewer words are in no class. Both tables are written once in the shared folder: readers of the
-    sets never repeat the work on the texts.
+    sets never repeat the work on the texts. numbered: sets are shuffled once, so that a set of many copies is kept once and classes
+    have numbers of 8 bytes with much in common.
     """
     spark = df.sparkSession
     ship(spark)
@@ -78,14 +102,20 @@ def shingle_sets(df: DataFrame, text: Column, keep: dict[str, Column], k: int =
     kept = [f"_k_{n}" for n in keep]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*kept).schema)
     made = spread(src).mapInArrow(_make(k, least_words, kept), f"cls binary, n int, shingles array<bigint>, {kinds}")
-    rows = materialize(made.select("cls", "n", "shingles", *[F.col(f"_k_{n}").alias(n) for n in keep]), name)
-    return Sets(rows, list(keep))
+    made = made.select("cls", "n", "shingles", *[F.col(f"_k_{n}").alias(n) for n in keep])
+    if numbered:
+        of = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema.fields[1:])
+        made = made.repartition("cls").mapInArrow(_number, f"cls bigint, {of}")
+    return Sets(materialize(made, name), list(keep), numbered)
 
 
-def jaccard_pairs(pairs: DataFrame, sets: Sets, least: float) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs of classes (a, b) whose exact similarity is at least `least`."""
+def jaccard_pairs(pairs: DataFrame, sets: Sets, least: float, held: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs of classes (a, b) whose exact similarity is at least `least`. held: gets the tables
+    that can be dropped when the result is written."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     found = materialize(sets.of(ends), "candidates")
+    if held is not None:
+        held.append(found)
     a = found.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = found.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.size(F.array_intersect("sa", "sb")))

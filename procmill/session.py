@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import re
@@ -106,7 +107,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(own_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._procmill_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more, and lets go of the shuffle files of finished queries: Spark keeps
+    these until the driver's JVM happens to collect its garbage."""
+    for t in tables:
+        remove(t.sparkSession, t._procmill_path)
+    drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear_tables(spark: SparkSession) -> None:
