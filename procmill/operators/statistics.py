@@ -153,29 +153,180 @@ def interval(stats: DataFrame, times: int | None = None, alpha: float = 0.05, up
     return ranked.agg(F.min(F.when(F.col("_k") == lo, F.col("stat"))).alias("low"), F.min(F.when(F.col("_k") == hi, F.col("stat"))).alias("high"))
 
 
-def _weighted_rhos(clusters: int, times: int, blocks: int, seed: int):
-    """All rows (_block, _i, _x, _y, _n) to (b, n, rho) of the resamples b of that block: weights of clusters, no rows are copied."""
-    def run(rows):
-        import hashlib
-
-        import numpy as np
-        import pandas as pd
-
-        rows = rows.sort_values("_y")
-        c, n = rows["_i"].to_numpy(), rows["_n"].to_numpy().astype(float)
-        y, (xs, x) = rows["_y"].to_numpy(), np.unique(rows["_x"].to_numpy(), return_inverse=True)
-        at = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-        out = []
-        for b in range(int(rows["_block"].iloc[0]), times, blocks):
-            picks = [int(hashlib.md5(f"{seed}-{b}-{i}".encode()).hexdigest()[:8], 16) % clusters for i in range(clusters)]  # as in draw()
-            w = np.bincount(picks, minlength=clusters)[c] * n
-            wx, wy = np.bincount(x, w, len(xs)), np.add.reduceat(w, at)
-            total = wy.sum()
-            rx, ry = (np.cumsum(v) - (v - 1) / 2 - (total + 1) / 2 for v in (wx, wy))  # mean ranks of ties, less the mean of all ranks
-            sx, sy = (wx * rx * rx).sum(), (wy * ry * ry).sum()
-            if sx > 0 and sy > 0:
-                out.append((b, int(total), float((np.add.reduceat(w * rx[x], at) * ry).sum() / np.sqrt(sx * sy))))
-        return pd.DataFrame(out, columns=["b", "n", "rho"])
+#: Rows of a chunk of the cluster bootstrap, at least, and numbers that a task keeps for the values of x of its resamples.
+CHUNK, KEPT = 1 << 18, 1 << 24
+
+
+def _md5_heads(seed: int, b: int, n: int):
+    """The leading 32 bits of md5 of "seed-b-i" for i in 0..n-1, as in draw(); all of them at once where there are many."""
+    import hashlib
+
+    import numpy as np
+
+    head = f"{seed}-{b}-".encode()
+    if n < 256 or len(head) + len(str(n)) > 55:
+        return np.array([int(hashlib.md5(head + str(i).encode()).hexdigest()[:8], 16) for i in range(n)], np.uint32)
+    turns = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+    out, low = np.empty(n, np.uint32), 0
+    while low < n:
+        size = len(str(low))
+        high = min(n, 10**size, low + (1 << 14))
+        i, k = np.arange(low, high), len(head) + size
+        text = np.zeros((high - low, (k + 4) // 4 * 4), np.uint8)
+        text[:, : len(head)] = np.frombuffer(head, np.uint8)
+        for j in range(size):
+            text[:, k - 1 - j] = i // 10**j % 10 + 48
+        text[:, k] = 0x80
+        m = [np.ascontiguousarray(w) for w in text.view("<u4").T] + [np.uint32(0)] * 16
+        m = m[:14] + [np.uint32(8 * k), np.uint32(0)]
+        start = tuple(np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        x, y, z, w = (np.full(high - low, v, np.uint32) for v in start)
+        for r in range(64):
+            if r < 16:
+                f, g = w ^ (y & (z ^ w)), r
+            elif r < 32:
+                f, g = z ^ (w & (y ^ z)), (5 * r + 1) % 16
+            elif r < 48:
+                f, g = y ^ z ^ w, (3 * r + 5) % 16
+            else:
+                f, g = z ^ (y | ~w), 7 * r % 16
+            f += x
+            f += np.uint32(int(abs(math.sin(r + 1)) * 2**32) & 0xFFFFFFFF)
+            if g < 15:
+                f += m[g]
+            t = turns[r // 16][r % 4]
+            turned = f << np.uint32(t)
+            turned |= f >> np.uint32(32 - t)
+            turned += y
+            x, w, z, y = w, z, y, turned
+        out[low:high] = (x + start[0]).byteswap()
+        low = high
+    return out
+
+
+def _packed(batches):
+    """Rows (c, x, y) sorted by y, x, c to chunks (part, seq, c, n, g, gx, ys): clusters and their copies, rows and x of each pair of
+    x and y, pairs of each y, as numbers of the least size. A value of y is in one chunk only."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark import TaskContext
+
+    small = lambda v: v.astype(np.min_scalar_type(int(v.max()) if len(v) else 0))
+    part, seq, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+    def chunk(t):
+        nonlocal seq
+        c, x = t["c"].to_numpy(), t["x"].to_numpy()
+        new_y = _changes(pc, np, t["y"])
+        new_g = new_y | np.concatenate([[True], x[1:] != x[:-1]])
+        new = np.flatnonzero(new_g | np.concatenate([[True], c[1:] != c[:-1]]))
+        n = np.diff(np.append(new, len(c)))
+        g, ys = np.flatnonzero(new_g[new]), np.flatnonzero(new_y[new][new_g[new]])
+        parts = [c[new], n, np.diff(np.append(g, len(new))), x[new][g], np.diff(np.append(ys, len(g)))]
+        seq += 1
+        cells = [f for v in map(small, parts) for f in (v.dtype.str, v.tobytes())]
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([",".join(cells[::2])]), *[pa.array([v], pa.binary()) for v in cells[1::2]]], ["part", "seq", "kinds", "c", "n", "g", "gx", "ys"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= CHUNK:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_changes(pc, np, t["y"]))[-1])
+            held, rows = [t], t.num_rows
+            if last:
+                yield chunk(t.slice(0, last))
+                held, rows = [t.slice(last)], t.num_rows - last
+            held = [x for t in held for x in t.to_batches()]
+    if rows:
+        yield chunk(pa.Table.from_batches(held).combine_chunks())
+
+
+def _changes(pc, np, y):
+    """Where a sorted column has another value than in the row before; NaN is like NaN."""
+    y = y.combine_chunks() if hasattr(y, "combine_chunks") else y
+    out = np.ones(len(y), bool)
+    a, b = y.slice(1), y.slice(0, len(y) - 1)
+    differ = pc.not_equal(a, b)
+    if str(y.type) in ("double", "float"):
+        differ = pc.and_not(differ, pc.and_(pc.is_nan(a), pc.is_nan(b)))
+    out[1:] = differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _weighted_rhos(clusters: int, xs: int, rows: int, times: int, blocks: int, seed: int):
+    """All chunks, in order, with the number of a block to (b, n, rho) of the resamples b of that block: weights of clusters, no rows are
+    copied. With w the weight of a row, ranks of y follow from running sums, and those of x at the end, from sums for each value of x."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def weights(bs):
+        out = np.zeros((len(bs), clusters), np.uint8)
+        for k, b in enumerate(bs):
+            w = np.bincount(_md5_heads(seed, b, clusters) % np.uint32(clusters), minlength=clusters)
+            if w.max() > 255 and out.dtype == np.uint8:
+                out = out.astype(np.uint32)
+            out[k] = w
+        return out
+
+    def unpacked(cells):
+        c, n, g, gx, ys = (np.frombuffer(v, k) for k, v in zip(cells["kinds"].split(","), (cells[x] for x in ("c", "n", "g", "gx", "ys"))))
+        return c.astype(np.intp), None if n.max() == 1 else n.astype(float), np.cumsum(g, dtype=np.intp) - g, gx.astype(np.intp), ys.astype(np.intp)
+
+    def rhos(chunks, bs):
+        w_all = weights(bs)
+        upto, cubes, most = np.zeros(len(bs)), np.zeros(len(bs)), np.zeros(len(bs))
+        wx, wxy = np.zeros((len(bs), xs)), np.zeros((len(bs), xs))
+        for c, n, g, gx, ys in map(unpacked, chunks):
+            kind = np.float32 if n is None and len(c) * int(w_all.max()) < 1 << 24 else float  # whole numbers stay exact
+            y0 = np.cumsum(ys) - ys
+            dense, single = xs <= len(gx), len(ys) == len(gx)
+            for k in range(len(bs)):
+                w = w_all[k].astype(kind).take(c)
+                if n is not None:
+                    w *= n
+                m = (np.add.reduceat(w, g) if len(g) < len(w) else w).astype(float)
+                t = m if single else np.add.reduceat(m, y0)
+                r = np.cumsum(t)
+                end = r[-1]
+                r += upto[k] + 0.5 - rows / 2
+                r -= t / 2
+                v = m * (r if single else np.repeat(r, ys))
+                if dense:
+                    wx[k] += np.bincount(gx, m, xs)
+                    wxy[k] += np.bincount(gx, v, xs)
+                else:
+                    np.add.at(wx[k], gx, m)
+                    np.add.at(wxy[k], gx, v)
+                cubes[k] += (t * t).dot(t)
+                most[k] = max(most[k], t.max())
+                upto[k] += end
+        for k, b in enumerate(bs):
+            total = upto[k]
+            if most[k] < total and wx[k].max() < total:
+                rx = np.cumsum(wx[k]) - wx[k] / 2 - total / 2  # mean ranks of ties, less the mean of all ranks
+                sx, sy = wx[k].dot(rx * rx), (total**3 - cubes[k]) / 12
+                yield b, int(total), float(rx.dot(wxy[k]) / np.sqrt(sx * sy))
+
+    def run(batches):
+        import itertools
+
+        cells = ({n: b[n][i].as_py() for n in b.schema.names} for b in batches for i in range(b.num_rows))
+        first = next(cells, None)
+        if first is None:
+            return
+        chunks = itertools.chain([first], cells)
+        bs = list(range(first["_block"], times, blocks))
+        step = max(1, KEPT // xs)
+        if step < len(bs):
+            chunks = list(chunks)  # x has so many values that the chunks are read again and again
+        for at in range(0, len(bs), step):
+            got = pd.DataFrame(list(rhos(chunks, bs[at : at + step])), columns=["b", "n", "rho"]).astype({"b": "int32", "n": "int64", "rho": "float64"})
+            yield pa.RecordBatch.from_pandas(got, preserve_index=False)
 
     return run
 
@@ -183,17 +334,31 @@ def _weighted_rhos(clusters: int, times: int, blocks: int, seed: int):
 def cluster_bootstrap_rho(df: DataFrame, cluster: str, x: str, y: str, times: int, seed: int) -> DataFrame:
     """(b, n, rho): Spearman's rho over resampled clusters; resamples with a constant side are left out.
 
-    A resample is a weight for each cluster, and rows count by weight. Resamples are dealt out in blocks; a task that works on a block
-    holds all rows as numbers (cluster, rank of x, rank of y, copies).
+    A resample is a weight for each cluster, and rows count by weight. Rows are sorted once by the side with more values and packed
+    into chunks of numbers of a few bytes a row; resamples are dealt out in as many blocks as there are cores, and a task reads the
+    chunks one after another. It holds its resamples' weights, a byte for each cluster, and sums for each value of the other side;
+    where those are too many it holds the chunks too.
     """
     spark = df.sparkSession
     ship(spark)
-    ids = df.select(cluster).distinct().select(cluster, (F.row_number().over(W.orderBy(cluster)) - 1).alias("_i"))
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(ids, cluster)
-    d = with_average_rank(with_average_rank(d, [], x, "_x"), [], y, "_y").groupBy("_i", "_x", "_y").agg(F.count("*").alias("_n"))
-    blocks = min(2 * spark.sparkContext.defaultParallelism, times)
-    d = d.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(blocks, "_block")
-    return d.groupBy("_block").applyInPandas(_weighted_rhos(ids.count(), times, blocks, seed), "b int, n bigint, rho double")
+    df = df.select(F.col(cluster).alias("_c"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ids = materialize(df.select("_c").distinct().select("_c", (F.row_number().over(W.orderBy("_c")) - 1).cast("bigint").alias("c")), "clusters")
+    d = df.where("_x is not null and _y is not null")
+    few = d.agg(F.approx_count_distinct("_x") <= F.approx_count_distinct("_y"), F.count("*")).first()  # which side is x changes no result
+    d = d if few[0] else d.select("_c", F.col("_y").alias("_x"), F.col("_x").alias("_y"))
+    codes = materialize(exact_ranks(d.select("_x").distinct(), [], "_x").select("_x", (F.col("upto") - 1).alias("x")), "values")
+    d = d.join(ids, "_c").join(codes, "_x").select("c", "x", F.col("_y").alias("y"))
+    kinds = "part int, seq int, kinds string, c binary, n binary, g binary, gx binary, ys binary"
+    chunks = materialize(d.repartitionByRange("y").sortWithinPartitions("y", "x", "c").mapInArrow(_packed, kinds.replace("int,", "bigint,")), "chunks")
+    blocks = min(spark.sparkContext.defaultParallelism, times)
+    lands: dict[int, int] = {}  # a number for each block that is hashed to a part of its own
+    for r in spark.range(64 * blocks).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(blocks)).alias("p")).collect():
+        lands.setdefault(r["p"], r["k"])
+    keys = [F.struct(F.lit(k).alias("_key"), F.lit(i).alias("_block")) for i, k in enumerate([lands[p] for p in sorted(lands)])]
+    blocks = len(keys)
+    each = chunks.withColumn("_k", F.explode(F.array(*keys))).select("_k._key", "_k._block", *chunks.columns).repartition(blocks, "_key").sortWithinPartitions("_key", "part", "seq")
+    run = _weighted_rhos(ids.count(), codes.count(), few[1], times, blocks, seed)
+    return each.mapInArrow(run, "b int, n bigint, rho double")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
