@@ -25,12 +25,16 @@ from procmill.session import drop, drop_shuffles, materialize
 PLACES, BANDS, ROWS, SHARED = 1 << 18, 96, 4, 2
 #: Distance up to which a class is a near copy of its leader.
 NEAR = 0.1
-#: Leaders of a bucket up to which their pairs are candidates; larger buckets go through the exact prefix join instead.
-BUCKET = 32
+#: Leaders of a bucket up to which their pairs are counted; larger buckets go through the exact prefix join instead, whose candidates
+#: among texts with common phrases are many more than the pairs that share two buckets.
+BUCKET = 1 << 13
 #: Rows of a bucket that one task sorts, at least; and the sketch that finds larger ones: 8 MB.
 HOT, SKETCH_BITS = 200_000, 20
 #: Pairs of leaders that are counted at once; more are counted in slices, one after another, by their first class.
 AT_ONCE = 50_000_000
+#: Bits of a set's sketch, which bounds similarities before sets are sent; and pairs whose sets are sent at once: this many, or one for
+#: every four classes.
+WIDTH, SETS_AT_ONCE = 1024, 50_000
 
 
 def _permutation(seed: int) -> np.ndarray:
@@ -145,10 +149,46 @@ def _clusters(seen: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(near, "cls", "left").select("cls", "root", F.coalesce("_n.a", "cls").alias("leader"), F.coalesce(1 - F.col("_n.similarity"), F.lit(0.0)).alias("far"))
 
 
-def _verified(pairs: DataFrame, sets: Sets, least: float) -> DataFrame:
-    held: list[DataFrame] = []
-    out = materialize(jaccard_pairs(pairs, sets, least, held), "verified")
-    drop(*held)
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, n, shingles) to (cls, n, bits): a bit for every shingle, of WIDTH."""
+    for b in batches:
+        flat = b["shingles"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.asarray(b["shingles"].offsets)
+        grid = np.zeros((b.num_rows, WIDTH), np.uint8)
+        grid[np.repeat(np.arange(b.num_rows), np.diff(ends)), (mix(flat) & np.uint64(WIDTH - 1)).astype(np.int64)] = 1
+        yield pa.RecordBatch.from_arrays([b["cls"], b["n"], pa.array([r.tobytes() for r in np.packbits(grid, axis=1)], pa.binary())], ["cls", "n", "bits"])
+
+
+def _likely(least: float):
+    """Pairs whose similarity may be `least`: of a set's shingles at least as many are not in the other as bits of its sketch are not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits_a", "bits_b"))
+            na, nb = b["na"].to_numpy(), b["nb"].to_numpy()
+            both = np.minimum(na - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            keep = pa.array(both >= least * (na + nb - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(keep)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: Sets, sketches: DataFrame, at_once: int, least: float) -> DataFrame:
+    """jaccard_pairs of the pairs that the sketches leave, in slices of `at_once`: however many pairs there are, the disk holds the
+    sets of one slice."""
+    of = lambda x: sketches.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    kind = sets.rows.schema["cls"].dataType.simpleString()
+    likely = materialize(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(least), f"a {kind}, b {kind}"), "likely")
+    slices = 1 + likely.count() // at_once
+    drop_shuffles(pairs.sparkSession)
+    out = None
+    for k in range(slices):
+        held: list[DataFrame] = []
+        part = materialize(jaccard_pairs(likely if slices == 1 else likely.where(F.pmod(F.xxhash64("a"), F.lit(slices)) == k), sets, least, held), "verified")
+        drop(*held)
+        out = part if out is None else out.union(part)
+    drop(likely)
     return out
 
 
@@ -204,11 +244,11 @@ def _leader_pairs(few: DataFrame, shared: int) -> DataFrame:
     AT_ONCE of them, however many there are."""
     n = F.size("leaders").cast("bigint")
     slices = 1 + (few.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) // AT_ONCE
-    a = few.select("leaders", "roots", F.posexplode("leaders").alias("i", "a"))
+    a = few.where("size(leaders) > 1").select("leaders", "roots", F.explode(F.expr("sequence(0, size(leaders) - 2)")).alias("i"))
     out = None
     for k in range(int(slices)):
-        mine = a if slices == 1 else a.where(F.pmod(F.xxhash64("a"), F.lit(int(slices))) == k)
-        both = mine.select("a", F.expr("roots[i]").alias("ra"), F.explode(F.arrays_zip("leaders", "roots")).alias("x")).select("a", "ra", F.col("x.leaders").alias("b"), F.col("x.roots").alias("rb"))
+        mine = a if slices == 1 else a.where(F.pmod(F.xxhash64(F.expr("leaders[i]")), F.lit(int(slices))) == k)
+        both = mine.select("leaders", "roots", "i", F.explode(F.expr("sequence(i + 1, size(leaders) - 1)")).alias("j")).select(*[F.expr(x) for x in ("leaders[i] AS a", "leaders[j] AS b", "roots[i] AS ra", "roots[j] AS rb")])
         part = materialize(both.where("a < b and ra <> rb").groupBy("a", "b").agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "met-pairs")
         out = part if out is None else out.union(part)
         drop_shuffles(few.sparkSession)
@@ -220,7 +260,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
 
     No bucket gives all its pairs. First every class is compared with the least class of each of its buckets (stars); verified links
     form components. Only classes of a bucket that are in different components can add anything, and of those only the leaders of
-    near copies are compared. Two classes x, y of the same buckets with similarity `least` or more have leaders P, Q with a distance of at most
+    near copies that share as many buckets are compared. Two classes x, y of the same buckets with similarity `least` or more have leaders P, Q with a distance of at most
     1 - least + 2 NEAR (Jaccard distance is a metric), so leaders are compared down to that; where they are linked, all is said; where
     they are not, classes behind them are compared as far as the triangle inequality leaves a chance. So the components are those of
     all pairs, and n near copies cost n comparisons. A bucket with more than `most` leaders in different components gives no pairs of
@@ -228,11 +268,15 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     """
     low = least - 2 * NEAR
     cls = sets.rows.schema["cls"].dataType.simpleString()
+    drop_shuffles(sets.rows.sparkSession)
     made = materialize(sets.classes.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), f"bucket bigint, cls {cls}"), "bands")
     met = materialize(buckets_met(made), "met")
     drop(made)
+    sketched = sets.classes.mapInArrow(_sketched, f"cls {cls}, n int, bits binary")
+    sketches = materialize(sketched if sets.numbered else sketched.dropDuplicates(["cls"]), "sketches")
+    at_once = max(SETS_AT_ONCE, sketches.count() // 4)
     stars = materialize(met.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("_n")).where(F.col("_n") >= shared).select("a", "b"), "stars")
-    seen = _verified(stars, sets, low)
+    seen = _verified(stars, sets, sketches, at_once, low)
     over = F.col("similarity") >= least - 1e-12
     who = materialize(_clusters(seen, components(seen.where(over).select("a", "b"))), "clusters")
     roots = who.select("cls", "root")
@@ -250,7 +294,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
         pairs = pairs.union(candidates(first, first, low, once=True).join(end("a"), "a").join(end("b"), "b").where("ra <> rb").select("a", "b")).distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     drop(open_)
-    more = _verified(pairs, sets, low)
+    more = _verified(pairs, sets, sketches, at_once, low)
 
     # classes behind leaders that are not linked, but not far from it
     inside = who.select("cls", "leader", "far").union(who.where("cls <> leader").select(F.col("leader").alias("cls"), "leader", F.lit(0.0))).distinct()
@@ -259,7 +303,7 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     border = seen.union(more).where(~over).join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     border = border.select("a", "b", "similarity").join(of("a"), "a", "left").join(of("b"), "b", "left").select("similarity", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"), F.coalesce("fa", F.lit(0.0)).alias("fx"), F.coalesce("fb", F.lit(0.0)).alias("fy"))
     border = border.where((F.col("fx") + F.col("fy") > 0) & (F.col("fx") + F.col("fy") >= least - F.col("similarity") - 1e-9)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
-    behind = _verified(materialize(border, "border"), sets, least)
+    behind = _verified(materialize(border, "border"), sets, sketches, at_once, least)
     added = materialize(more.where(over).select("a", "b").union(behind.select("a", "b")), "added")
     if added.isEmpty():
         return roots

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from procmill.llm.words import shingles, words
-from procmill.session import materialize, ship, spread
+from procmill.session import drop_shuffles, materialize, ship, spread
 
 
 @dataclass
@@ -116,6 +116,7 @@ def jaccard_pairs(pairs: DataFrame, sets: Sets, least: float, held: list[DataFra
     found = materialize(sets.of(ends), "candidates")
     if held is not None:
         held.append(found)
+        drop_shuffles(found.sparkSession)
     a = found.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = found.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.size(F.array_intersect("sa", "sb")))
