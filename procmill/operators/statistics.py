@@ -155,6 +155,8 @@ def interval(stats: DataFrame, times: int | None = None, alpha: float = 0.05, up
 
 #: Rows of a chunk of the cluster bootstrap, at least, and numbers that a task keeps for the values of x of its resamples.
 CHUNK, KEPT = 1 << 18, 1 << 24
+#: Resamples whose weights stand side by side, and rows of a group up to which groups are added up together.
+WIDE, LONG = 64, 256
 
 
 def _md5_heads(seed: int, b: int, n: int):
@@ -257,6 +259,40 @@ def _changes(pc, np, y):
     return out
 
 
+def _group_sums(c, n, g):
+    """Rows in groups that begin at g to a function of weights (clusters, resamples): (resamples, groups), the sums of the rows'
+    weights. The weights of a cluster are read side by side, and the first rows of all groups are added at once, then the second ones."""
+    import numpy as np
+
+    sizes = np.diff(np.append(g, len(c)))
+    most = float(np.add.reduceat(n, g).max()) if n is not None else float(sizes.max())
+    tiles = []
+    for low in range(0, len(g), 1 << 13):
+        size = sizes[low : low + (1 << 13)]
+        order = np.argsort(-size, kind="stable")
+        first, size = g[low : low + (1 << 13)][order], size[order]
+        big = int((size > LONG).sum())
+        layers = [first[big : int((size > k).sum())] + k for k in range(int(size[big]) if big < len(size) else 0)]
+        tiles.append((low, np.argsort(order), [(int(a), int(a + k)) for a, k in zip(first[:big], size[:big])], layers))
+
+    def sums(w):
+        kind = np.float64 if n is not None or most * int(w.max()) >= 1 << 32 else np.uint16 if most * int(w.max()) < 1 << 16 else np.uint32
+        out = np.empty((w.shape[1], len(g)), kind)
+        for low, back, runs, layers in tiles:
+            acc = np.zeros((len(back), w.shape[1]), kind)
+            for k, (a, end) in enumerate(runs):
+                for at in range(a, end, 1 << 14):
+                    v = w.take(c[at : min(end, at + (1 << 14))], axis=0)
+                    acc[k] += np.add.reduce(v if n is None else v * n[at : min(end, at + (1 << 14)), None], 0, dtype=kind)
+            for rows in layers:
+                v, to = w.take(c[rows], axis=0), acc[len(runs) : len(runs) + len(rows)]
+                to += v if n is None else v * n[rows, None]
+            out[:, low : low + len(back)] = acc.take(back, axis=0).T
+        return out
+
+    return sums
+
+
 def _weighted_rhos(clusters: int, xs: int, rows: int, times: int, blocks: int, seed: int):
     """All chunks, in order, with the number of a block to (b, n, rho) of the resamples b of that block: weights of clusters, no rows are
     copied. With w the weight of a row, ranks of y follow from running sums, and those of x at the end, from sums for each value of x."""
@@ -265,31 +301,28 @@ def _weighted_rhos(clusters: int, xs: int, rows: int, times: int, blocks: int, s
     import pyarrow as pa
 
     def weights(bs):
+        """(clusters, resamples)"""
         out = np.zeros((len(bs), clusters), np.uint8)
         for k, b in enumerate(bs):
             w = np.bincount(_md5_heads(seed, b, clusters) % np.uint32(clusters), minlength=clusters)
             if w.max() > 255 and out.dtype == np.uint8:
                 out = out.astype(np.uint32)
             out[k] = w
-        return out
+        return np.ascontiguousarray(out.T)
 
     def unpacked(cells):
         c, n, g, gx, ys = (np.frombuffer(v, k) for k, v in zip(cells["kinds"].split(","), (cells[x] for x in ("c", "n", "g", "gx", "ys"))))
         return c.astype(np.intp), None if n.max() == 1 else n.astype(float), np.cumsum(g, dtype=np.intp) - g, gx.astype(np.intp), ys.astype(np.intp)
 
     def rhos(chunks, bs):
-        w_all = weights(bs)
+        w_all = [(at, weights(bs[at : at + WIDE])) for at in range(0, len(bs), WIDE)]
         upto, cubes, most = np.zeros(len(bs)), np.zeros(len(bs)), np.zeros(len(bs))
         wx, wxy = np.zeros((len(bs), xs)), np.zeros((len(bs), xs))
         for c, n, g, gx, ys in map(unpacked, chunks):
-            kind = np.float32 if n is None and len(c) * int(w_all.max()) < 1 << 24 else float  # whole numbers stay exact
+            sums = _group_sums(c, n, g)
             y0 = np.cumsum(ys) - ys
             dense, single = xs <= len(gx), len(ys) == len(gx)
-            for k in range(len(bs)):
-                w = w_all[k].astype(kind).take(c)
-                if n is not None:
-                    w *= n
-                m = (np.add.reduceat(w, g) if len(g) < len(w) else w).astype(float)
+            for k, m in ((at + i, m.astype(float)) for at, w in w_all for i, m in enumerate(sums(w))):
                 t = m if single else np.add.reduceat(m, y0)
                 r = np.cumsum(t)
                 end = r[-1]
