@@ -155,24 +155,29 @@ def interval(stats: DataFrame, times: int | None = None, alpha: float = 0.05, up
 
 #: Rows of a chunk of the cluster bootstrap, at least, and numbers that a task keeps for the values of x of its resamples.
 CHUNK, KEPT = 1 << 18, 1 << 24
-#: Resamples whose weights stand side by side, and rows of a group up to which groups are added up together.
-WIDE, LONG = 64, 256
+#: Resamples whose weights stand side by side, rows of a group up to which groups are added up together, and groups of a tile.
+WIDE, LONG, TILE = 64, 256, 2048
 
 
 def _md5_heads(seed: int, b: int, n: int):
-    """The leading 32 bits of md5 of "seed-b-i" for i in 0..n-1, as in draw(); all of them at once where there are many."""
+    """The leading 32 bits of md5 of "seed-b-i" for i in 0..n-1, as in draw(); many at once where numbers of as many digits are many."""
     import hashlib
 
     import numpy as np
 
     head = f"{seed}-{b}-".encode()
-    if n < 256 or len(head) + len(str(n)) > 55:
-        return np.array([int(hashlib.md5(head + str(i).encode()).hexdigest()[:8], 16) for i in range(n)], np.uint32)
+    each = lambda low, high: np.frombuffer(b"".join([hashlib.md5(b"%b%d" % (head, i)).digest()[:4] for i in range(low, high)]), ">u4").astype(np.uint32)
+    if len(head) + len(str(n)) > 55:
+        return each(0, n)
     turns = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
     out, low = np.empty(n, np.uint32), 0
     while low < n:
         size = len(str(low))
         high = min(n, 10**size, low + (1 << 14))
+        if high - low < 1 << 11:
+            out[low:high] = each(low, high)
+            low = high
+            continue
         i, k = np.arange(low, high), len(head) + size
         text = np.zeros((high - low, (k + 4) // 4 * 4), np.uint8)
         text[:, : len(head)] = np.frombuffer(head, np.uint8)
@@ -260,39 +265,98 @@ def _changes(pc, np, y):
 
 
 def _group_sums(c, n, g):
-    """Rows in groups that begin at g to a function of weights (clusters, resamples): (resamples, groups), the sums of the rows'
+    """Rows in groups that begin at g to a function of weights (clusters, resamples): (groups, resamples), the sums of the rows'
     weights. The weights of a cluster are read side by side, and the first rows of all groups are added at once, then the second ones."""
     import numpy as np
 
-    sizes = np.diff(np.append(g, len(c)))
-    most = float(np.add.reduceat(n, g).max()) if n is not None else float(sizes.max())
-    tiles = []
-    for low in range(0, len(g), 1 << 13):
-        size = sizes[low : low + (1 << 13)]
-        order = np.argsort(-size, kind="stable")
-        first, size = g[low : low + (1 << 13)][order], size[order]
-        big = int((size > LONG).sum())
-        layers = [first[big : int((size > k).sum())] + k for k in range(int(size[big]) if big < len(size) else 0)]
-        tiles.append((low, np.argsort(order), [(int(a), int(a + k)) for a, k in zip(first[:big], size[:big])], layers))
+    size = np.diff(np.append(g, len(c)))
+    most = float(np.add.reduceat(n, g).max()) if n is not None else float(size.max())
+    if most == 1:
+        return lambda w: w.take(c, axis=0)
+    order = np.argsort(-size, kind="stable")
+    first, size, back = g[order], size[order], np.argsort(order)
+    big = int((size > LONG).sum())
+    runs = [(int(a), int(a + k)) for a, k in zip(first[:big], size[:big])]
+    layers = [first[big : int((size > k).sum())] + k for k in range(int(size[big]) if big < len(size) else 0)]
 
     def sums(w):
         kind = np.float64 if n is not None or most * int(w.max()) >= 1 << 32 else np.uint16 if most * int(w.max()) < 1 << 16 else np.uint32
-        out = np.empty((w.shape[1], len(g)), kind)
-        for low, back, runs, layers in tiles:
-            acc = np.zeros((len(back), w.shape[1]), kind)
-            for k, (a, end) in enumerate(runs):
-                for at in range(a, end, 1 << 14):
-                    v = w.take(c[at : min(end, at + (1 << 14))], axis=0)
-                    acc[k] += np.add.reduce(v if n is None else v * n[at : min(end, at + (1 << 14)), None], 0, dtype=kind)
-            for rows in layers:
-                v, to = w.take(c[rows], axis=0), acc[len(runs) : len(runs) + len(rows)]
-                to += v if n is None else v * n[rows, None]
-            out[:, low : low + len(back)] = acc.take(back, axis=0).T
-        return out
+        acc = np.zeros((len(g), w.shape[1]), kind)
+        for k, (a, end) in enumerate(runs):
+            for at in range(a, end, 1 << 14):
+                v = w.take(c[at : min(end, at + (1 << 14))], axis=0)
+                acc[k] += np.add.reduce(v if n is None else v * n[at : min(end, at + (1 << 14)), None], 0, dtype=kind)
+        for rows in layers:
+            v, to = w.take(c[rows], axis=0), acc[big : big + len(rows)]
+            to += v if n is None else v * n[rows, None]
+        return acc.take(back, axis=0)
 
     return sums
 
 
+def _running(m):
+    """Running sums down the columns, 16 rows at a time."""
+    import numpy as np
+
+    out = m.copy()
+    whole = len(m) // 16 * 16
+    if whole:
+        v = out[:whole].reshape(-1, 16, m.shape[1])
+        for k in range(1, 16):
+            v[:, k] += v[:, k - 1]
+        v[1:] += np.cumsum(v[:-1, -1], axis=0, dtype=m.dtype)[:, None]
+    for k in range(max(whole, 1), len(m)):
+        out[k] += out[k - 1]
+    return out
+
+
+def _tiles(c, n, g, gx, ys):
+    """A chunk to functions of weights (clusters, resamples), for about TILE groups each: (end, values of x, m, v, cubes, most), the sum of
+    all weights, and for each value of x the sum of the weights and of weights times twice their mean rank in the tile; sum of cubes and
+    maximum of the weights of each y. Whole numbers of 4 bytes where they are enough."""
+    import numpy as np
+
+    y0 = np.cumsum(ys) - ys
+    cuts = np.unique(np.searchsorted(y0, np.arange(0, len(g), TILE)))
+    for ya, yb in zip(cuts, np.append(cuts[1:], len(ys))):
+        if ya == yb:
+            continue
+        a, b = int(y0[ya]), int(y0[yb]) if yb < len(ys) else len(g)
+        ra, rb = int(g[a]), int(g[b]) if b < len(g) else len(c)
+        sums = _group_sums(c[ra:rb], None if n is None else n[ra:rb], g[a:b] - ra)
+        rows = float(rb - ra if n is None else n[ra:rb].sum())
+        first, by_x = y0[ya:yb] - a, np.argsort(gx[a:b], kind="stable")
+        last, of_y = np.append(first[1:], b - a) - 1, np.repeat(np.arange(yb - ya), ys[ya:yb])
+        kinds = gx[a:b][by_x]
+        at = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
+        ends = np.append(at[1:], b - a)
+
+        def by(v, by_x=by_x, at=at, ends=ends):
+            v = v.take(by_x, axis=0)
+            if len(at) > 64:
+                return np.add.reduceat(v, at, axis=0)
+            return np.array([np.add.reduce(v[i:j], 0, dtype=v.dtype) for i, j in zip(at, ends)])
+
+        def run(w, sums=sums, rows=rows, first=first, last=last, of_y=of_y, x=kinds[at], by=by):
+            most = rows * int(w.max())
+            m = sums(w).astype(np.int32 if 2 * most * most < 1 << 31 else np.float64)
+            r = _running(m)
+            end = r[-1].astype(float)
+            if len(first) == len(m):
+                t = m
+                r += r
+                r -= m
+            else:
+                high, low = r.take(last, axis=0), r.take(first, axis=0) - m.take(first, axis=0)
+                t = high - low
+                r = (high + low).take(of_y, axis=0)
+            top = t.max(axis=0)
+            u = t if most * float(top.max()) ** 2 < 1 << 31 else t.astype(float)
+            return end, x, by(m).astype(float), by(np.multiply(m, r, out=r)).astype(float), np.add.reduce(u * u * u, 0, dtype=u.dtype), top
+
+        yield run
+
+
 def _weighted_rhos(clusters: int, xs: int, rows: int, times: int, blocks: int, seed: int):
     """All chunks, in order, with the number of a block to (b, n, rho) of the resamples b of that block: weights of clusters, no rows are
     copied. With w the weight of a row, ranks of y follow from running sums, and those of x at the end, from sums for each value of x."""
@@ -312,38 +376,31 @@ def _weighted_rhos(clusters: int, xs: int, rows: int, times: int, blocks: int, s
 
     def unpacked(cells):
         c, n, g, gx, ys = (np.frombuffer(v, k) for k, v in zip(cells["kinds"].split(","), (cells[x] for x in ("c", "n", "g", "gx", "ys"))))
-        return c.astype(np.intp), None if n.max() == 1 else n.astype(float), np.cumsum(g, dtype=np.intp) - g, gx.astype(np.intp), ys.astype(np.intp)
+        c, n, g = c.astype(np.intp), n.astype(np.intp), np.cumsum(g, dtype=np.intp) - g
+        if n.sum() <= 2 * len(n):  # few copies are rows like others
+            c, n, g = np.repeat(c, n), None, (np.cumsum(n) - n)[g]
+        return c, None if n is None else n.astype(float), g, gx.astype(np.intp), ys.astype(np.intp)
 
     def rhos(chunks, bs):
         w_all = [(at, weights(bs[at : at + WIDE])) for at in range(0, len(bs), WIDE)]
         upto, cubes, most = np.zeros(len(bs)), np.zeros(len(bs)), np.zeros(len(bs))
-        wx, wxy = np.zeros((len(bs), xs)), np.zeros((len(bs), xs))
-        for c, n, g, gx, ys in map(unpacked, chunks):
-            sums = _group_sums(c, n, g)
-            y0 = np.cumsum(ys) - ys
-            dense, single = xs <= len(gx), len(ys) == len(gx)
-            for k, m in ((at + i, m.astype(float)) for at, w in w_all for i, m in enumerate(sums(w))):
-                t = m if single else np.add.reduceat(m, y0)
-                r = np.cumsum(t)
-                end = r[-1]
-                r += upto[k] + 0.5 - rows / 2
-                r -= t / 2
-                v = m * (r if single else np.repeat(r, ys))
-                if dense:
-                    wx[k] += np.bincount(gx, m, xs)
-                    wxy[k] += np.bincount(gx, v, xs)
-                else:
-                    np.add.at(wx[k], gx, m)
-                    np.add.at(wxy[k], gx, v)
-                cubes[k] += (t * t).dot(t)
-                most[k] = max(most[k], t.max())
-                upto[k] += end
+        wx, wxy = np.zeros((xs, len(bs))), np.zeros((xs, len(bs)))
+        for cells in chunks:
+            for tile in _tiles(*unpacked(cells)):
+                for at, w in w_all:
+                    k = slice(at, at + w.shape[1])
+                    end, x, m, v, cube, top = tile(w)
+                    wx[x, k] += m
+                    wxy[x, k] += v / 2 + m * (upto[k] + 0.5 - rows / 2)
+                    cubes[k] += cube
+                    most[k] = np.maximum(most[k], top)
+                    upto[k] += end
         for k, b in enumerate(bs):
-            total = upto[k]
-            if most[k] < total and wx[k].max() < total:
-                rx = np.cumsum(wx[k]) - wx[k] / 2 - total / 2  # mean ranks of ties, less the mean of all ranks
-                sx, sy = wx[k].dot(rx * rx), (total**3 - cubes[k]) / 12
-                yield b, int(total), float(rx.dot(wxy[k]) / np.sqrt(sx * sy))
+            total, of_x = upto[k], wx[:, k]
+            if most[k] < total and of_x.max() < total:
+                rx = np.cumsum(of_x) - of_x / 2 - total / 2  # mean ranks of ties, less the mean of all ranks
+                sx, sy = of_x.dot(rx * rx), (total**3 - cubes[k]) / 12
+                yield b, int(total), float(rx.dot(wxy[:, k]) / np.sqrt(sx * sy))
 
     def run(batches):
         import itertools

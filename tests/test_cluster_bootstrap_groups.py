@@ -17,7 +17,7 @@ def test_groups_of_all_lengths(repeated, most):
     w = rng.integers(0, most, (500, 7)).astype(np.uint8 if most < 256 else np.uint32)
     got = S._group_sums(c, n, g)(w)
     each = w[c].astype(float) * (n[:, None] if repeated else 1)
-    assert (got == np.add.reduceat(each, g, axis=0).T).all()
+    assert (got == np.add.reduceat(each, g, axis=0)).all()
 
 
 def test_md5_is_taken_once_for_each_cluster_and_resample(monkeypatch):
