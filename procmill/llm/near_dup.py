@@ -268,8 +268,8 @@ def linked(sets: Sets, least: float = 0.6, bands: int = BANDS, rows: int = ROWS,
     """
     low = least - 2 * NEAR
     cls = sets.rows.schema["cls"].dataType.simpleString()
-    drop_shuffles(sets.rows.sparkSession)
     made = materialize(sets.classes.select("cls", "shingles").mapInArrow(_bands(bands, rows, seed), f"bucket bigint, cls {cls}"), "bands")
+    drop_shuffles(made.sparkSession)  # that of the sets: just after they were written, Spark may still hold it
     met = materialize(buckets_met(made), "met")
     drop(made)
     sketched = sets.classes.mapInArrow(_sketched, f"cls {cls}, n int, bits binary")
